@@ -50,21 +50,22 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept``, the lines that stay joined by line feeds. The kept text
+    """``docs`` with ``_cairn_n_lines``, ``_cairn_n_dropped`` and ``_cairn_kept``, the lines that stay joined by line feeds. The kept text
     of a document without a bitmap is its text, or empty for null."""
     names = docs.columns
-    joined = docs.withColumn("_own", version(F.col(text))).join(bitmaps, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_v")), "left")
-    gone = "flatten(transform(_bitmap, b -> transform(filter(sequence(0, 63), k -> (shiftrightunsigned(b.keep, k) & 1L) = 0L), k -> b.word * 64 + k)))"
+    theirs = bitmaps.select(*[F.col(c).alias(f"_cairn{c}") for c in ("_id", "_v", "_bitmap")])
+    joined = docs.join(theirs, docs[doc_id].eqNullSafe(theirs["_cairn_id"]) & (version(docs[text]) == theirs["_cairn_v"]), "left")
+    gone = "flatten(transform(_cairn_bitmap, b -> transform(filter(sequence(0, 63), k -> (shiftrightunsigned(b.keep, k) & 1L) = 0L), k -> b.word * 64 + k)))"
     return (
-        joined.withColumn("_lines", lines_of(F.col(text)))
-        .withColumn("_gone", F.when(F.col("_bitmap").isNotNull(), F.expr(gone)))
+        joined.withColumn("_cairn_lines", lines_of(F.col(text)))
+        .withColumn("_cairn_gone", F.when(F.col("_cairn_bitmap").isNotNull(), F.expr(gone)))
         .select(
             *[F.col(f"`{n}`") for n in names],
-            F.size("_lines").cast("long").alias("_n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"),
-            F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit("")))
-            .otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), p -> _lines[p]), '\n')"))
-            .alias("_kept"),
+            F.size("_cairn_lines").cast("long").alias("_cairn_n_lines"),
+            F.coalesce(F.size("_cairn_gone"), F.lit(0)).cast("long").alias("_cairn_n_dropped"),
+            F.when(F.col("_cairn_gone").isNull(), F.coalesce(F.col(text), F.lit("")))
+            .otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_cairn_lines) - 1), _cairn_gone), p -> _cairn_lines[p]), '\n')"))
+            .alias("_cairn_kept"),
         )
     )
 
@@ -73,15 +74,15 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``keep_bitmaps`` drops; ``n_chars`` follows the text. No document goes; a null
     text stays null."""
     done = apply_bitmaps(docs, keep_bitmaps(docs))
-    kept = F.when(F.col("text").isNotNull(), F.col("_kept"))
-    changed = {"text": kept, "n_chars": F.when(F.col("_n_dropped") > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
+    kept = F.when(F.col("text").isNotNull(), F.col("_cairn_kept"))
+    changed = {"text": kept, "n_chars": F.when(F.col("_cairn_n_dropped") > 0, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
     return done.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
     done = apply_bitmaps(docs, keep_bitmaps(docs))
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", F.col("_cairn_n_lines").alias("n_lines"), F.col("_cairn_n_dropped").alias("n_dropped"), F.sha2("_cairn_kept", 256).alias("kept_sha256"))
 
 
 SQL_OP7 = r"""

@@ -232,7 +232,7 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return out
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return out.unionByName(own(repeated).withColumn("_nth", first).filter("_nth = 1").drop("_nth"))
+    return out.unionByName(own(repeated).withColumn("_cairn_nth", first).filter("_cairn_nth = 1").drop("_cairn_nth"))
 
 
 def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ import base64
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +59,6 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def encoder(ranks: str, pattern: str) -> Encoder:
-    return Encoder(ranks, pattern)
-
-
 def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: itself if it fits, else pieces of ``capacity``, the first of them
     shorter where they don't come out even."""
@@ -83,7 +77,7 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "doc_id
     text is empty. Only place, length and checksum of a piece leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(ranks, pattern), array("I", [end]).tobytes()
+        encode, tail = Encoder(ranks, pattern), array("I", [end]).tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = batch.column(1)
