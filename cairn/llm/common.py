@@ -39,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_heavy(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined on ``keys`` with ``classes``, which has one row per key and in ``size``, which goes, how many rows
+    hold it. Keys that hold more than one in ``share`` of the rows of all classes are fewer than ``share``, whatever the
+    data, and are broadcast; among the rest, joined by a shuffle, none holds more than that."""
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    heavy = F.col(size) * share > total
+    few, rest = classes.filter(heavy).drop(size), classes.filter(~heavy).drop(size)
+    light = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(few), keys).unionByName(light.join(rest, keys))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

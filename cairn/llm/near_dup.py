@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, load
+from cairn.llm.common import cut, join_heavy, load
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Widths of the six blocks of a fingerprint, from its low end. Two fingerprints within two bits agree on four blocks at
@@ -213,12 +213,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     component is the least id among all rows that links reach. Null and empty texts have the fingerprint zero and link
     like others. Rows that share an id are rows of their own; a null id is larger than any other."""
     own = cut(fingerprints(docs, doc_id=doc_id, text=text))
-    classes = cut(own.groupBy("_fp").agg(F.min("_id").alias("_least")))
+    classes = cut(own.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")))
     linked = cut(connected(near_edges(classes)))
-    members = linked.join(classes, linked["node"] == classes["_fp"]).select("node", "root", "_least")
+    members = linked.join(classes.drop("_n"), linked["node"] == classes["_fp"]).select("node", "root", "_least")
     named = members.join(members.groupBy("root").agg(F.min("_least").alias("_all")), "root").select(F.col("node").alias("_fp"), "_all")
-    of = classes.join(named, "_fp", "left").select("_fp", F.coalesce("_all", "_least").alias("_component"))
-    return own.join(of, "_fp").select("_id", "_fp", "_component")
+    of = classes.join(named, "_fp", "left").select("_fp", F.coalesce("_all", "_least").alias("_component"), "_n")
+    return join_heavy(own, cut(of), ["_fp"], "_n").select("_id", "_fp", "_component")
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
