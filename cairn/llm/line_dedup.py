@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANKS, ascii_lower, cut, load, version
+from cairn.llm.common import BLANKS, ascii_lower, cut, join_heavy, load, version
 
 
 def lines_of(text: Column) -> Column:
@@ -38,9 +38,9 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = cut(lines)
     ranged = lines.repartitionByRange("_h1", "_h2", "_id").sortWithinPartitions("_h1", "_h2", F.desc("_id"), "_v", "_pos")
     held = cut(ranged.groupBy("_h1", "_h2", "_id").agg(F.collect_list(F.struct("_v", "_pos")).alias("_at")))
-    common = held.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_stays")).filter(F.col("_n") >= min_docs)
+    common = cut(held.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_stays")).filter(F.col("_n") >= min_docs))
     dropped = (
-        held.join(common, ["_h1", "_h2"])
+        join_heavy(held, common, ["_h1", "_h2"], "_n")
         .filter(F.col("_id") != F.col("_stays"))
         .select("_id", F.explode("_at").alias("_at"))
         .select("_id", "_at._v", F.expr("_at._pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, CAST(_at._pos % 64 AS INT))").alias("_bit"))
