@@ -13,28 +13,28 @@ from cairn.plans.tables import load
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as sets of parts, of every ninth part."""
-    return load(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").filter("l_partkey % 9 = 0").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("member"))
+    """Suppliers as sets of parts."""
+    return load(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("member"))
 
 
-_SQL_OVERLAPS = """m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_partkey % 9 = 0), n AS (SELECT s, count(*) AS n FROM m GROUP BY 1),
+_SQL_OVERLAPS = """m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM m GROUP BY 1),
 i AS (SELECT x.s AS a, y.s AS b, count(*) AS shared FROM m x JOIN m y ON x.p = y.p AND x.s < y.s GROUP BY ALL),
 o AS (SELECT a, b, shared, shared / (na.n + nb.n - shared) AS jaccard FROM i JOIN n na ON na.s = a JOIN n nb ON nb.s = b)"""
 
 
-@query("c19_jaccard_pairs", f"WITH {_SQL_OVERLAPS} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM o WHERE jaccard >= 0.2")
+@query("c19_jaccard_pairs", f"WITH {_SQL_OVERLAPS} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM o WHERE jaccard >= 0.17")
 def c19_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(_members(spark, sf_dir), 0.2).withColumn("jaccard", F.round("jaccard", 6))
+    return overlaps(_members(spark, sf_dir), 0.17).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
     "g2_overlap_components",
-    f"""WITH RECURSIVE {_SQL_OVERLAPS}, e AS (SELECT a, b FROM o WHERE jaccard >= 0.22 UNION SELECT b, a FROM o WHERE jaccard >= 0.22),
+    f"""WITH RECURSIVE {_SQL_OVERLAPS}, e AS (SELECT a, b FROM o WHERE jaccard >= 0.18 UNION SELECT b, a FROM o WHERE jaccard >= 0.18),
 r(node, reach) AS (SELECT s, s FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY 1""",
 )
 def g2_overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _members(spark, sf_dir)
-    return components(members.select(F.col("set").alias("node")), overlaps(members, 0.22).select("a", "b"))
+    return components(members.select(F.col("set").alias("node")), overlaps(members, 0.18).select("a", "b"))
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
