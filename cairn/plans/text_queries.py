@@ -105,9 +105,9 @@ def c20_statement_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.when(F.col("n") == 1, F.col("one")).alias("entity"), status.alias("status"))
 
 
-@query("c22_missing_ids", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("c22_missing_ids", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def c22_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers, orders = load(spark, sf_dir, "customer", "c_custkey"), load(spark, sf_dir, "orders", "o_custkey")
+    customers, orders = load(spark, sf_dir, "customer", "c_custkey"), load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").filter("o_totalprice > 400000")
     return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti")
 
 
