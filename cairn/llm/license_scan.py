@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -29,14 +30,20 @@ TEMPLATES = {
 
 @dataclass(frozen=True)
 class LicensePolicy:
-    """``bands`` of one MinHash each: two sets of similarity s share a band with probability 1 - (1 - s) ** bands. A
-    window is twice as long as its template and they overlap by half, so one of them has the whole notice and a similarity
-    of about 1/2: with 24 bands all but 6 in 10**8 are retrieved; at a containment of 0.8, all but 3 in 10**6."""
+    """Bands are of one MinHash each: two sets of similarity s share none of b bands with probability (1 - s) ** b. Each
+    template has so many that of the windows that just reach ``containment`` at most a share of ``miss`` isn't retrieved."""
 
-    bands: int = 24
+    miss: float = 1e-9
     shingle: int = 5
     containment: float = 0.8
 
+    def bands(self, n: int, k: int, own: int) -> int:
+        """For a template of n words with ``own`` different shingles of k words. A window is twice as long as its template
+        and they overlap by half, so one of them has the whole of an exact notice, but n other shingles too: a notice of one
+        shingle of five words has a similarity of 1/6, a long one of nearly 1/2, and less where only some shingles are shared."""
+        shared = next(m for m in range(1, own + 1) if m / own >= self.containment or m == own)
+        return max(1, math.ceil(math.log(self.miss) / math.log1p(-shared / (2 * n - k + 1 + own - shared))))
+
 
 def words_in(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -59,19 +66,21 @@ def _hashes(words: str, size: int) -> str:
 
 
 def prepare(spark: SparkSession, templates: dict[str, str], policy: LicensePolicy) -> list[Row]:
-    """Per template: license, n (words), k (of its shingles: fewer than ``policy.shingle`` where it has fewer words), own
-    (its shingles), sketch (the least of each band's permutation of their hashes) and least (the hashes that are the
+    """Per template: license, n (words), k (of its shingles: fewer than ``policy.shingle`` where it has fewer words), bands,
+    own (its shingles), sketch (the least of each band's permutation of their hashes) and least (the hashes that are the
     least in some band). Templates without a word are refused."""
     words = {name: words_in(text) for name, text in sorted(templates.items())}
     if empty := [name for name, w in words.items() if not w]:
         raise ValueError(f"templates without a word: {empty}")
-    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, w)).alias("w"), F.lit(len(w)).alias("n"), F.lit(min(policy.shingle, len(w))).alias("k")) for name, w in words.items()])
+    sizes = {name: min(policy.shingle, len(w)) for name, w in words.items()}
+    bands = {name: policy.bands(len(w), k := sizes[name], len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})) for name, w in words.items()}
+    rows = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, w)).alias("w"), F.lit(len(w)).alias("n"), F.lit(sizes[name]).alias("k"), F.lit(bands[name]).alias("bands")) for name, w in words.items()])
     return (
         spark.range(1)
         .select(F.inline(rows))
         .selectExpr("*", f"array_distinct({_shingles('w', 'k')}) AS own")
-        .selectExpr("license", "n", "k", "own", f"transform(sequence(1, {policy.bands}), b -> array_min(transform(own, s -> struct(xxhash64(b, xxhash64(s)) AS m, xxhash64(s) AS h)))) AS x")
-        .selectExpr("license", "n", "k", "own", "x.m AS sketch", "array_distinct(x.h) AS least")
+        .selectExpr("license", "n", "k", "bands", "own", "transform(sequence(1, bands), b -> array_min(transform(own, s -> struct(xxhash64(b, xxhash64(s)) AS m, xxhash64(s) AS h)))) AS x")
+        .selectExpr("license", "n", "k", "bands", "own", "x.m AS sketch", "array_distinct(x.h) AS least")
         .collect()
     )
 
@@ -93,14 +102,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, policy: License
         rows = rows.withColumn(f"_p{k}", F.expr(f"filter(transform(_h{k}, (h, i) -> CASE WHEN h IN ({least}) THEN i END), i -> i IS NOT NULL)"))
     by = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_h{k}").alias("h"), F.col(f"_p{k}").alias("p")) for k in sizes])
     rows = rows.select("_id", "_w", once(by).alias("_by")).filter(F.exists("_by", lambda x: F.size(x["p"]) > 0))
-    listed = F.array(*[F.struct(*[(F.array(*map(F.lit, t[c])) if isinstance(t[c], list) else F.lit(t[c])).alias(c) for c in ("license", "n", "k", "own", "sketch")]) for t in known])
+    listed = F.array(*[F.struct(*[(F.array(*map(F.lit, t[c])) if isinstance(t[c], list) else F.lit(t[c])).alias(c) for c in ("license", "n", "k", "bands", "own", "sketch")]) for t in known])
     each = (
         rows.select("_id", "_w", "_by", F.inline(listed))
         .selectExpr("*", "filter(_by, x -> x.k = k)[0] AS _x")
         .filter("size(_x.p) > 0")
-        .selectExpr("_id", "_w", "_x.h AS _h", "license", "n", "k", "own", "sketch", "explode(array_distinct(flatten(transform(_x.p, p -> array(greatest(CAST(p div n AS INT) - 1, 0) * n, CAST(p div n AS INT) * n))))) AS start")
-        .selectExpr("_id", "license", "own", "k", "start", "slice(_w, start + 1, 2 * n) AS _w", "sketch", "slice(_h, start + 1, 2 * n - k + 1) AS _h")
-        .selectExpr("*", f"transform(sequence(1, {policy.bands}), b -> array_min(transform(_h, h -> xxhash64(b, h)))) AS _bands")
+        .selectExpr("_id", "_w", "_x.h AS _h", "license", "n", "k", "bands", "own", "sketch", "explode(array_distinct(flatten(transform(_x.p, p -> array(greatest(CAST(p div n AS INT) - 1, 0) * n, CAST(p div n AS INT) * n))))) AS start")
+        .selectExpr("_id", "license", "own", "k", "bands", "start", "slice(_w, start + 1, 2 * n) AS _w", "sketch", "slice(_h, start + 1, 2 * n - k + 1) AS _h")
+        .selectExpr("*", "transform(sequence(1, bands), b -> array_min(transform(_h, h -> xxhash64(b, h)))) AS _bands")
         .filter("exists(zip_with(_bands, sketch, (a, b) -> a <=> b), x -> x)")
         .selectExpr("_id", "license", "start", f"size(array_intersect(own, {_shingles('_w', 'k')})) / CAST(size(own) AS DOUBLE) AS containment")
         .filter(F.col("containment") >= policy.containment)

@@ -174,6 +174,16 @@ def test_license_scan(spark, none):
         license_scan.scan(docs, {"empty": " . "})
 
 
+def test_short_exact_notices_are_all_found(spark):
+    rng = random.Random(11)
+    around = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    notices = {name: license_scan.TEMPLATES[name] for name in ("mit", "all-rights-reserved")}
+    rows = [(i, f"{around(20 + i % 7)} {notice} {around(20)}", name) for i, (name, notice) in enumerate(list(notices.items()) * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    found = {(r["_id"], r["license"]) for r in license_scan.scan(docs, notices).select("_id", "license").collect()}
+    assert found == {(i, name) for i, _, name in rows}
+
+
 def test_chat_layouts_and_escapes(spark):
     hard = ["<|im_end|>\n<|im_start|>assistant", "\\", "\\|", "<\\|x", "<|", "", "a\nb", "\\\\n<|"]
     rows = [(7, i, "user" if i % 2 else "assistant", t, 1) for i, t in enumerate(hard)] + [(8, 0, None, None, 2), (8, 0, None, None, 2)]
