@@ -19,16 +19,19 @@ from cairn.llm.common import load
 class ToxicityPolicy:
     """``window`` and ``step`` in bytes. ``max_toxic`` and ``max_ordinary`` bound the labelled rows that are fitted on the
     driver, those first by a hash of their ids; four fifths make the dictionaries, the rest calibrates. A toxic segment is in at least
-    ``min_share`` of the toxic rows, and ``min_ratio`` times as common there as in the others. ``levels``: gains in bytes that count."""
+    ``min_rows`` toxic rows, whatever share of them that is, ``min_ratio`` times as common there as in the others, and in so many
+    that of all segments tried fewer than ``chance`` are expected to be so by chance. A toxic row with ``enough`` segments needs
+    no others. ``levels``: gains in bytes that count."""
 
     window: int = 64
     step: int = 48
     max_toxic: int = 1500
     max_ordinary: int = 3000
     segment_lengths: tuple[int, ...] = (4, 5, 6, 8, 10, 12)
-    min_share: float = 0.03
+    min_rows: int = 4
     min_ratio: float = 8.0
-    toxic_bytes: int = 512
+    chance: float = 0.05
+    enough: int = 6
     common_words: int = 300
     levels: tuple[int, ...] = (1, 2, 3, 4, 5)
     threshold: float = 0.3
@@ -48,29 +51,54 @@ def windows(data: bytes, window: int, step: int) -> list[bytes]:
     return [data[i : i + window] for i in range(0, max(1, len(data) - (window - step)), step)]
 
 
+def without_copies(texts: list[bytes], size: int = 5, share: float = 0.5) -> list[bytes]:
+    """``texts`` without those that have ``share`` of their ``size``-word shingles in texts before them."""
+    from xxhash import xxh64_intdigest as digest
+
+    out, seen = [], set[int]()
+    for t in texts:
+        words = t.split()
+        own = {digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}
+        if len(own & seen) < share * len(own):
+            out.append(t)
+        seen |= own
+    return out
+
+
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes], policy: ToxicityPolicy) -> list[bytes]:
-    """Parts of words that are in far more toxic texts than ordinary ones, those with the most excess, none within another."""
+    """Parts of words that are in far more toxic texts than ordinary ones, those with the most excess first, none within
+    another; as many as it takes, but none that ``min_rows`` texts without ``enough`` segments don't have: those would only match
+    ordinary text. Copies count once: in them every part of a word is as frequent as they are."""
+    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
 
-    def spread(texts: list[bytes]) -> Counter[bytes]:
+    def spread(texts: list[bytes], among: dict[bytes, int] | None = None) -> Counter[bytes]:
         seen: Counter[bytes] = Counter()
         for t in texts:
-            seen.update({w[i : i + n] for w in set(t.split()) for n in policy.segment_lengths for i in range(len(w) - n + 1)})
+            own = {w[i : i + n] for w in set(t.split()) for n in policy.segment_lengths for i in range(len(w) - n + 1)}
+            seen.update(own if among is None else own & among.keys())
         return seen
 
-    there, least = spread(toxic), max(4, math.ceil(policy.min_share * len(toxic)))
-    there = {s: n for s, n in there.items() if n >= least}
-    other = spread(ordinary)
+    there = {s: n for s, n in spread(toxic).items() if n >= policy.min_rows}
+    other = spread(ordinary, there)
+    rate, least = len(toxic) / max(1, len(toxic) + len(ordinary)), math.log(max(1, len(there)) / policy.chance)
     ranked = []
     for s, n in there.items():
         share, usual = (n + 0.5) / (len(toxic) + 1), (other[s] + 0.5) / (len(ordinary) + 1)
         if share > policy.min_ratio * usual:
-            ranked.append((n * math.log(share / usual), len(s), s))
+            # Chernoff's bound on the chance that so many of the texts that have it are toxic
+            part = n / (n + other[s])
+            excess = n * math.log(part / rate) + (other[s] * math.log((1 - part) / (1 - rate)) if other[s] else 0)
+            if excess >= least:
+                ranked.append((n * math.log(share / usual), len(s), s))
     out: list[bytes] = []
+    has = [0] * len(toxic)
     for _, _, s in sorted(ranked, reverse=True):
         if not any(s in x for x in out):
-            out = [x for x in out if x not in s] + [s]
-            if sum(map(len, out)) > policy.toxic_bytes:
-                break
+            own = [i for i, t in enumerate(toxic) if s in t]
+            if sum(has[i] < policy.enough for i in own) >= policy.min_rows:
+                out = [x for x in out if x not in s] + [s]
+                for i in own:
+                    has[i] += 1
     return out
 
 
@@ -79,14 +107,16 @@ class Gain:
 
     Both dictionaries hold the common words, so that only toxic segments tell them apart. A window is compressed doubled:
     its second half is one long match with either, so that it never falls back to being stored as it is, and every
-    match in its first half shows."""
+    match in its first half shows. The compressor's window and tables cover the whole of the larger dictionary."""
 
     def __init__(self, common: bytes, toxic: bytes, window: int, step: int) -> None:
         import zstandard as z
 
+        log = max(12, (len(common) + 1 + len(toxic) + 2 * window).bit_length())
+
         def using(content: bytes) -> z.ZstdCompressor:
             words = z.ZstdCompressionDict(content.ljust(16, b"\0"), dict_type=z.DICT_TYPE_RAWCONTENT)
-            kind = {"window_log": 12, "hash_log": 12, "chain_log": 12, "search_log": 4, "min_match": 4, "strategy": z.STRATEGY_GREEDY}
+            kind = {"window_log": log, "hash_log": log, "chain_log": log, "search_log": 4, "min_match": 4, "strategy": z.STRATEGY_GREEDY}
             return z.ZstdCompressor(dict_data=words, compression_params=z.ZstdCompressionParameters(**kind, write_content_size=0, write_checksum=0, write_dict_id=0))
 
         self.ordinary, self.toxic = using(common), using(common + b"\0" + toxic)

@@ -237,6 +237,17 @@ def test_toxicity_learns_and_stays_within_bounds(spark, none):
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxic_segments_of_few_rows_are_found_and_copies_count_once():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abdegiklmnoprstu") for _ in range(8))
+    text = lambda *own: " ".join([*(word() for _ in range(30)), *own]).encode()
+    marks = [word() for _ in range(80)]
+    toxic, copied, ordinary = [text(m) for m in marks for _ in range(10)], text(), [text() for _ in range(2400)]
+    found = toxicity.toxic_segments([*toxic, *[copied] * 20], ordinary, toxicity.ToxicityPolicy())
+    assert all(any(m.encode() in s for s in found) for m in marks)  # in 1.2% of the toxic rows each, 640 bytes in all
+    assert not any(w in s for w in copied.split() for s in found)
+
+
 def test_language_model(spark, docs, none):
     small = lm_score.LmPolicy(own=20, groups=8, classes=6, head=30)
     out = lm_score.score(docs, small).collect()
