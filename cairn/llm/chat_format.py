@@ -86,8 +86,9 @@ def _role(role: Column) -> Column:
 
 
 def canonical_turns(df: DataFrame, *, conv_id: str = "conv_id", mappings: dict[str, Layout] = MAPPINGS) -> DataFrame:
-    """Rows (conv_id, turn, role, text) from a table in any known layout; null roles and texts become empty. A table
-    of whole conversations has them numbered from 0 in order."""
+    """Rows (conv_id, turn, role, text) from a table in any known layout; null roles and texts become empty, null ids stay. A table
+    of whole conversations has them numbered from 0 in order. Repeated rows stay repeated; an empty table gives none; columns
+    of other names do not count, whatever they are."""
     layout = layout_of(df.schema, mappings)
     if layout.turns is None:
         rows = df.select(F.col(conv_id).alias("conv_id"), "turn", "role", "text")
@@ -96,27 +97,55 @@ def canonical_turns(df: DataFrame, *, conv_id: str = "conv_id", mappings: dict[s
     return rows.select("conv_id", "turn", _role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: One part of a schema as ``schema_of_variant`` writes it: a field's name, an opening, a closing, or a plain type.
+_PART = r"`(?:[^`]|``)*`: |[^\s<>,:`]+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\(\d+,\d+\))?"
+#: Walks over such parts: the paths of the objects that are open, the path that the next value has, and those of all values.
+_WALK = """aggregate(_parts, named_struct('open', cast(array() AS array<string>), 'at', '', 'paths', cast(array() AS array<string>)), (s, t) -> CASE
+  WHEN endswith(t, ': ') THEN named_struct('open', s.open, 'at', concat_ws('.', nullif(element_at(s.open, -1), ''), regexp_extract(t, '^`?(.*?)`?: $', 1)), 'paths', s.paths)
+  WHEN t = 'OBJECT<' THEN named_struct('open', array_append(s.open, s.at), 'at', s.at, 'paths', s.paths)
+  WHEN t = 'ARRAY<' THEN named_struct('open', array_append(s.open, s.at), 'at', concat(s.at, '[]'), 'paths', s.paths)
+  WHEN t = '>' THEN named_struct('open', slice(s.open, 1, size(s.open) - 1), 'at', s.at, 'paths', s.paths)
+  ELSE named_struct('open', s.open, 'at', s.at, 'paths', array_append(s.paths, s.at)) END).paths"""
+
+
+def with_json_paths(df: DataFrame, json: Column, name: str) -> DataFrame:
+    """``df`` with the nested field paths of a JSON object, as ``field_paths`` has them for a type; none for what is no JSON."""
+    schema = F.schema_of_variant(F.try_parse_json(json))
+    parts = F.regexp_extract_all(F.coalesce(schema, F.lit("")), F.lit(_PART), F.lit(0))
+    return df.withColumn("_parts", parts).withColumn(name, F.array_sort(F.expr(_WALK))).drop("_parts")
+
+
 def canonical_json(df: DataFrame, json: str = "json", *, conv_id: str = "conv_id", mappings: dict[str, Layout] = MAPPINGS) -> tuple[DataFrame, DataFrame]:
-    """For a column of JSON objects in mixed layouts: the canonical turns of all rows of known layouts, and the rows
-    (conv_id, paths) of others. Each row's fingerprint is the hash of its own field paths, taken from its variant schema."""
-    schema = F.expr(f"schema_of_variant(try_parse_json({json}))")
-    keys = F.regexp_extract_all(F.coalesce(schema, F.lit("")), F.lit(r"`?(\w+)`?: (?=OBJECT|ARRAY|STRING|BIGINT|DECIMAL|DOUBLE|BOOLEAN|VOID|VARIANT)"), F.lit(1))
-    rows = df.select(F.col(conv_id).alias("conv_id"), F.col(json).alias("_json"), F.array_sort(F.array_distinct(keys)).alias("_keys"))
-    out, rest = None, F.lit(True)
-    for layout in sorted((x for x in mappings.values() if x.turns), key=lambda x: (-len(x.paths), x.name)):
-        names = sorted({k.removesuffix("[]") for p in layout.paths for k in p.split(".")})
-        fits = F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains("_keys", n))
-        wanted = T.StructType()
-        for p in layout.paths:
+    """For a column of JSON objects in mixed layouts: the canonical turns of all rows of known layouts, and (conv_id, json, paths)
+    of every other row: no JSON, no known layout, or no turn in it (no text but null). Each row's fingerprint is the hash of
+    its own nested field paths, of those that some layout has; where no layout has just these, the layout with the most paths
+    is taken of those whose paths are all there, as for a table. Repeated rows are turns each; the rows are read once."""
+    layouts = [x for x in mappings.values() if x.turns]
+    known = sorted({p for x in mappings.values() for p in x.paths})
+    rows = with_json_paths(df.select(F.col(conv_id).alias("_conv"), F.col(json).alias("_json")), F.col("_json"), "_paths")
+    own = F.filter("_paths", lambda p: p.isin(known))
+    rows = rows.withColumn("_print", F.sha2(F.array_join(own, "\n"), 256))
+    layout = F.lit(None).cast("string")
+    for x in sorted(layouts[::-1], key=lambda x: len(x.paths)):  # the last one that fits is taken
+        layout = F.when(F.size(F.array_except(F.array(*map(F.lit, x.paths)), "_paths")) == 0, x.name).otherwise(layout)
+    for x in layouts:
+        layout = F.when(F.col("_print") == fingerprint(x.paths), x.name).otherwise(layout)
+    wanted: dict[str, T.DataType] = {}
+    for x in layouts:
+        for p in x.paths:
             top, _, leaf = p.partition("[].")
-            if leaf and top not in wanted.names:
-                wanted = wanted.add(top, T.ArrayType(T.StructType([T.StructField(q.partition("[].")[2], T.StringType()) for q in layout.paths])))
-            elif not leaf:
-                wanted = wanted.add(top, T.StringType())
-        part = rows.filter(rest & fits).select("conv_id", F.from_json("_json", wanted).alias("_o")).select("conv_id", "_o.*")
-        turns = canonical_turns(part, mappings={fingerprint(layout.paths): layout})
-        out, rest = turns if out is None else out.unionByName(turns), rest & ~fits
-    return out, rows.filter(rest).select("conv_id", F.col("_keys").alias("paths"))
+            if leaf:
+                wanted[top] = T.ArrayType(T.StructType([*(wanted[top].elementType.fields if top in wanted else []), T.StructField(leaf, T.StringType())]))
+            else:
+                wanted[top] = T.StringType()
+    fields = T.StructType([T.StructField(n, t) for n, t in wanted.items()])
+    rows = rows.select("_conv", "_json", "_paths", layout.alias("_layout"), F.from_json("_json", fields).alias("_o")).select("_conv", "_json", "_paths", "_layout", "_o.*")
+    turns = "CASE " + " ".join(f"WHEN _layout = '{x.name}' THEN {x.turns}" for x in layouts) + " END"
+    rows = rows.withColumn("_turns", F.expr(turns))
+    some = F.coalesce(F.size("_turns") > 0, F.lit(False))
+    each = rows.filter(some).select(F.col("_conv").alias("conv_id"), F.posexplode("_turns").alias("turn", "_m"))
+    out = each.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("_m.role")).alias("role"), F.coalesce("_m.text", F.lit("")).alias("text"))
+    return out, rows.filter(~some).select(F.col("_conv").alias("conv_id"), F.col("_json").alias("json"), F.col("_paths").alias("paths"))
 
 
 def escape(text: Column) -> Column:
@@ -131,7 +160,8 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: ``formatted``, and ``mask``, an array of struct<start, length> in code points, the parts
     on which a loss is taken: the assistant's texts. Turns stand by (turn, role, text), repeated rows as often as they
-    are there; all rows of a null id are one conversation. One conversation is one text, so one row holds it."""
+    are there; all rows of a null id are one conversation, an empty table has none. One conversation is one text, however
+    long, so one row holds it."""
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n"))
     parts = turns.select(
         "conv_id",

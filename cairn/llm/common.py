@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -20,10 +21,14 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared folder; one is made up only where none is set."""
+    """The session's shared folder. Where none is set one is made up if all runs on this machine; on a cluster the other
+    machines would not see it, and that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -50,6 +55,16 @@ def join_heavy(rows: DataFrame, classes: DataFrame, keys: list[str], size: str,
     return rows.join(F.broadcast(few), keys).unionByName(light.join(rest, keys))
 
 
+#: Bytes of a table that is sent to every task, at most.
+SENT = 8 << 20
+
+
+def join_sized(rows: DataFrame, table: DataFrame, on: Column, how: str, size: int) -> DataFrame:
+    """``rows`` joined with a table of ``size`` bytes as measured: sent to where the rows are if it is small, else both are
+    shuffled. The rows are the same either way."""
+    return rows.join(F.broadcast(table) if size <= SENT else table, on, how)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

@@ -87,8 +87,9 @@ def prepare(spark: SparkSession, templates: dict[str, str], policy: LicensePolic
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, policy: LicensePolicy = LicensePolicy(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, license, start, containment) for each row of ``docs`` and each window of it with a template; ``start`` is the
-    window's first word. Null and empty texts have none; repeated rows have rows each; an empty table gives none. All
-    is done within the row: no shuffle, one scan.
+    window's first word. Null and empty texts have none; null ids are values; repeated rows have rows each; very long texts
+    are scanned whole; an empty table gives none; other columns are not read. All is done within the row: no shuffle, one
+    scan.
 
     A window can share a band with a template only if it has the shingle that is the template's least in that band. So
     the windows whose bands are compared are those about such shingles; for all others the bands are known to differ.

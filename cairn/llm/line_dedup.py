@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANKS, ascii_lower, cut, join_heavy, load, version
+from cairn.llm.common import BLANKS, ascii_lower, cut, join_sized, load, version
 
 
 def lines_of(text: Column) -> Column:
@@ -22,9 +22,10 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     at least ``min_docs`` different ids stay only in the largest id that holds them, there as often as they stand.
     Rows with one id count as one document; null texts are one empty line; rows with a null id hold no key of others.
 
-    The keys' 128-bit hashes are dealt by range of (hash, document), sorted by document, last first, and position, so
-    that a line held by a third of all documents spans as many tasks as it needs. Each range streams its documents'
-    lines; the first of a hash, over all ranges, is where it stays.
+    The keys' 128-bit hashes are dealt by range of (hash, document), sorted by hash, document, last first, and position, so
+    that a line held by a third of all documents spans as many ranges as it needs. Windows stream over each range as it is
+    sorted: the first document of a hash is where its lines stay, the others are numbered as they pass. Only the hashes at
+    the ends of a range can go on in the next; their counts and first documents, two rows a range, are carried over.
     """
     key = F.col("_key")
     lines = (
@@ -36,14 +37,25 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         .select("_id", "_v", "_pos", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2"))
     )
     lines = cut(lines)
-    ranged = lines.repartitionByRange("_h1", "_h2", "_id").sortWithinPartitions("_h1", "_h2", F.desc("_id"), "_v", "_pos")
-    held = cut(ranged.groupBy("_h1", "_h2", "_id").agg(F.collect_list(F.struct("_v", "_pos")).alias("_at")))
-    common = cut(held.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_stays")).filter(F.col("_n") >= min_docs))
+    ranged = lines.repartitionByRange("_h1", "_h2", F.desc("_id")).withColumn("_range", F.spark_partition_id())
+    # a range exchange does not tell the planner the number of a range; this one sends each row to the task of that number
+    ranged = ranged.repartitionById(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_range").sortWithinPartitions("_range", "_h1", "_h2", F.desc("_id"), "_v", "_pos")
+    whole, own = Window.partitionBy("_range"), Window.partitionBy("_range", "_h1", "_h2")
+    passed, hash_ = own.orderBy(F.desc("_id")), F.struct("_h1", "_h2")
+    streamed = cut(
+        ranged.withColumn("_end", (hash_ == F.min(hash_).over(whole)) | (hash_ == F.max(hash_).over(whole)))
+        .withColumn("_stays", F.first("_id").over(passed))
+        .withColumn("_nth", F.dense_rank().over(passed))
+        .withColumn("_n", F.max("_nth").over(own))
+        .filter("_n > 1 OR _end")
+        .drop("_nth")
+    )
+    ends = streamed.filter("_end").groupBy("_h1", "_h2", "_range").agg(F.max("_n").alias("_n"), F.max("_stays").alias("_stays"))
+    carried = ends.groupBy("_h1", "_h2").agg(F.sum("_n").alias("_all"), F.max("_stays").alias("_first"), F.count("*").alias("_ranges")).filter("_ranges > 1").drop("_ranges")
     dropped = (
-        join_heavy(held, common, ["_h1", "_h2"], "_n")
-        .filter(F.col("_id") != F.col("_stays"))
-        .select("_id", F.explode("_at").alias("_at"))
-        .select("_id", "_at._v", F.expr("_at._pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, CAST(_at._pos % 64 AS INT))").alias("_bit"))
+        streamed.join(F.broadcast(carried), ["_h1", "_h2"], "left")
+        .filter((F.coalesce("_all", "_n") >= min_docs) & (F.col("_id") != F.coalesce("_first", "_stays")))
+        .select("_id", "_v", F.expr("_pos div 64").cast("int").alias("word"), F.expr("shiftleft(1L, CAST(_pos % 64 AS INT))").alias("_bit"))
     )
     words = dropped.groupBy("_id", "_v", "word").agg(F.bitwise_not(F.bit_or("_bit")).alias("keep"))
     return words.groupBy("_id", "_v").agg(F.sort_array(F.collect_list(F.struct("word", "keep"))).alias("_bitmap"))
@@ -51,10 +63,12 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``_cairn_n_lines``, ``_cairn_n_dropped`` and ``_cairn_kept``, the lines that stay joined by line feeds. The kept text
-    of a document without a bitmap is its text, or empty for null."""
+    of a document without a bitmap is its text, or empty for null. Few bitmaps go to where the texts are, many are joined by a
+    shuffle. ``docs`` must not have columns of these three names."""
     names = docs.columns
-    theirs = bitmaps.select(*[F.col(c).alias(f"_cairn{c}") for c in ("_id", "_v", "_bitmap")])
-    joined = docs.join(theirs, docs[doc_id].eqNullSafe(theirs["_cairn_id"]) & (version(docs[text]) == theirs["_cairn_v"]), "left")
+    theirs = cut(bitmaps.select(*[F.col(c).alias(f"_cairn{c}") for c in ("_id", "_v", "_bitmap")]))
+    size = theirs.agg(F.sum(F.size("_cairn_bitmap") * 16 + 64)).first()[0] or 0
+    joined = join_sized(docs, theirs, docs[doc_id].eqNullSafe(theirs["_cairn_id"]) & (version(docs[text]) == theirs["_cairn_v"]), "left", size)
     gone = "flatten(transform(_cairn_bitmap, b -> transform(filter(sequence(0, 63), k -> (shiftrightunsigned(b.keep, k) & 1L) = 0L), k -> b.word * 64 + k)))"
     return (
         joined.withColumn("_cairn_lines", lines_of(F.col(text)))

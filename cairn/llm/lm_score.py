@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +20,12 @@ END = b"\n"
 
 @dataclass(frozen=True)
 class LmPolicy:
-    """``own``: the most frequent words, each clustered by itself; all others are clustered as ``groups`` of words with
-    equal last bytes. ``classes``: classes of the clustering. ``head``: words whose counts go to all tasks; the counts of
-    the rest are joined. ``discount``: taken off each count for words not seen. All of fixed size whatever the input;
-    every count covers the whole corpus."""
+    """``own``: the most frequent words, among which classes are exchanged, ``classes`` of them at most; every other word, however
+    rare, then joins the class that its neighbours make likeliest. ``head``: words, at most, whose classes and counts go to
+    all tasks; the rest, the tail, is joined. ``discount``: taken off each count for words not seen. Every count covers the
+    whole corpus."""
 
     own: int = 1000
-    groups: int = 128
-    suffix: int = 3
     classes: int = 64
     head: int = 131_072
     sweeps: int = 6
@@ -67,48 +65,75 @@ def _count_batch(counts: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
-class Items:
-    """The item of each word: its rank if it is one of the ``own``, else its group; the end has the last item."""
+def token_chunks(texts: pa.Array, size: int = 200_000) -> Iterator[list[bytes]]:
+    """The tokens of whole texts one after another, about ``size`` a time. Each text ends with the end, so that before
+    every first word, but that of a chunk, stands the end."""
+    held: list[bytes] = []
+    for text in texts:
+        held += tokens_of(text.as_py())
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
 
-    def __init__(self, own: list[bytes], policy: LmPolicy) -> None:
-        self.first, self.groups, self.suffix, self.n = len(own), policy.groups, policy.suffix, len(own) + policy.groups + 1
-        self.known: dict[bytes, int] = {w: i for i, w in enumerate(own)} | {END: self.n - 1}
 
-    def group(self, word: bytes) -> int:
-        return self.first + crc32(word[-self.suffix :]) % self.groups
+class Vocabulary:
+    """The head: words by the frequency of their counts, ``own`` first, and the end, which has the last place. ``len(self)`` stands for
+    every other word, the tail."""
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get = self.known.get
-        out = list(map(get, words))
-        return np.array([self.group(w) if x is None else x for w, x in zip(words, out, strict=True)], np.int64)
+    def __init__(self, ranked: list[tuple[bytes, int]], ends: int, own: int) -> None:
+        self.words = [w for w, _ in ranked] + [END]
+        self.counts = np.array([n for _, n in ranked] + [ends], np.int64)
+        self.own = min(own, len(ranked))
+        self.at = {w: i for i, w in enumerate(self.words)}
 
+    def __len__(self) -> int:
+        return len(self.words)
 
-def count_pairs(texts: DataFrame, items: Items, tokens_a_part: int = 2_000_000) -> DataFrame:
-    """(pair, n): how often item ``pair % items`` follows item ``pair // items``; before a text's first word stands the end."""
-    n, end = items.n, items.n - 1
+    def places(self, words: list[bytes]) -> np.ndarray:
+        out = list(map(self.at.get, words))
+        tail = len(self.words)
+        return np.array([tail if x is None else x for x in out], np.int64)
+
+
+def states_of(cls: np.ndarray, n_words: int, k: int) -> np.ndarray:
+    """The state of each place of a vocabulary of ``n_words`` and of the tail: the class where it has one, else the state of words
+    without; of ``k`` classes the end is class ``k`` and state ``k + 1`` is that of the rest."""
+    out = np.full(n_words + 1, k + 1)
+    out[: len(cls)] = cls
+    out[n_words - 1] = k
+    return out
+
+
+def _before(states: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate(([end], states[:-1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, parts, held = np.zeros(n * n, np.int64), [], 0
 
-        def add() -> None:
-            flat = np.concatenate(parts)
-            total[:] += np.bincount(np.concatenate(([end], flat[:-1])) * n + flat, minlength=n * n)
-            parts.clear()
+def _after(states: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate((states[1:], [end]))
 
+
+def count_pairs(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """How often each of the own words, the end (one before last) and the rest (last) stands after each: a table of fixed size,
+    summed up in the tasks."""
+    n = words.own + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, np.int64)
+        item = states_of(np.arange(words.own), len(words), words.own)
         for batch in batches:
-            for text in batch.column(0):
-                parts.append(items.of(tokens_of(text.as_py())))
-                held += len(parts[-1])
-                if held >= tokens_a_part:
-                    add()
-                    held = 0
-        if parts:
-            add()
+            for tokens in token_chunks(batch.column(0)):
+                own = item[words.places(tokens)]
+                total += np.bincount(_before(own, words.own) * n + own, minlength=n * n)
         seen = np.flatnonzero(total)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
 
-    return texts.select("_text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = texts.select("_text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(n * n, np.int64)
+    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return pairs.reshape(n, n)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -118,13 +143,13 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """The class of each item by exchange clustering on the counts of item pairs: items in the order of their counts move
     to the class that gains most likelihood, the first of equals, until a sweep moves none. They start dealt out in
-    turn; the last item, the end, keeps the last class to itself."""
+    turn, to ``classes`` of them at most; the last two items, the end and the rest, keep classes to themselves, the last two."""
     n = len(pairs)
-    c = max(2, min(classes, n))
+    c = min(classes, n - 2) + 2
     weight = pairs.sum(0) + pairs.sum(1)
-    order = np.argsort(-weight[:-1], kind="stable")
-    cls = np.full(n, c - 1)
-    cls[order] = np.arange(n - 1) % (c - 1)
+    order = np.argsort(-weight[:-2], kind="stable")
+    cls = np.arange(n) - n + c
+    cls[order] = np.arange(n - 2) % max(1, c - 2)
     member = np.zeros((n, c))
     member[np.arange(n), cls] = 1
     pairs = pairs.astype(float)
@@ -152,7 +177,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             diag = np.diagonal(between)
             gain = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols) + _xlogx(diag + o + i + self_) - _xlogx(diag)
             gain -= _xlogx(left + sums_out[w]) - _xlogx(left) + _xlogx(right + sums_in[w]) - _xlogx(right)
-            gain[c - 1] = -np.inf
+            gain[c - 2 :] = -np.inf
             new = old if gain[old] >= gain.max() - 1e-9 else int(gain.argmax())
             between[new] += o
             between[:, new] += i
@@ -171,105 +196,250 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return cls
 
 
+def gains(starts: np.ndarray, side: np.ndarray, n: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """What each word adds to the likelihood of the class pairs ``between`` as a member of each class, by words and classes. A word's
+    entries begin at ``starts``: ``n`` times the state ``side`` stands before it, or after it if the number of states is added."""
+    states = len(between)
+    k = states - 2
+    table = np.concatenate([between[:, :k], between[:k].T]).astype(float)
+    one = _xlogx(table + 1) - _xlogx(table)
+    out = np.empty((len(starts), k))
+    left, right = between.sum(1)[:k].astype(float), between.sum(0)[:k].astype(float)
+    for first in range(0, len(starts), 2048):
+        own = starts[first : first + 2048]
+        end = starts[first + 2048] if first + 2048 < len(starts) else len(side)
+        s, x = side[own[0] : end], n[own[0] : end].astype(float)
+        add = one[s]
+        several = np.flatnonzero(x > 1)
+        add[several] = _xlogx(table[s[several]] + x[several, None]) - _xlogx(table[s[several]])
+        times = np.add.reduceat(np.where(s < states, x, 0), own - own[0])[:, None]
+        out[first : first + 2048] = np.add.reduceat(add, own - own[0]) - (_xlogx(left + times) - _xlogx(left) + _xlogx(right + times) - _xlogx(right))
+    return out
+
+
+def _best(gain: np.ndarray) -> np.ndarray:
+    """The first class whose gain is the greatest but for rounding."""
+    return (gain >= gain.max(1, keepdims=True) - 1e-9).argmax(1)
+
+
+def classify_head(texts: DataFrame, words: Vocabulary, own: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The class of each word of the head: ``own`` of the first, of the others the likeliest by the states before and after them. The
+    counts of word and state are sparse and summed up in the tasks, and each word is assigned where its counts are."""
+    states, k = len(between), len(between) - 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = states_of(own, len(words), k)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+        def rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((codes // (2 * states)).astype(np.int32)), pa.array((codes % (2 * states)).astype(np.int32)), pa.array(n)], ["at", "side", "n"])
+
+        for batch in batches:
+            for tokens in token_chunks(batch.column(0)):
+                at = words.places(tokens)
+                own_ = state[at]
+                pick = (at >= words.own) & (at < len(words) - 1)
+                word = at[pick] * 2 * states
+                parts.append(np.unique(np.concatenate((word + _before(own_, k)[pick], word + states + _after(own_, k)[pick])), return_counts=True))
+            if sum(len(c) for c, _ in parts) > 4_000_000:
+                parts = [merged()]
+                if len(parts[0][0]) > 2_000_000:
+                    yield rows(*parts.pop())
+        if parts:
+            yield rows(*merged())
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(1)
+                entries = lists.flatten()
+                starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+                cls = _best(gains(starts, entries.field(0).to_numpy().astype(np.int64), entries.field(1).to_numpy(), between))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls.astype(np.int32))], ["at", "cls"])
+
+    cls = np.full(len(words) - 1, 0)
+    cls[: words.own] = own
+    if words.own < len(cls):
+        counted = texts.select("_text").mapInArrow(count, "at int, side int, n long").groupBy("at", "side").agg(F.sum("n").alias("n"))
+        found = counted.groupBy("at").agg(F.collect_list(F.struct("side", "n")).alias("e")).mapInArrow(assign, "at int, cls int").toArrow()
+        cls[found["at"].to_numpy()] = found["cls"].to_numpy()
+    return cls
+
+
+def classify_tail(texts: DataFrame, words: Vocabulary, cls: np.ndarray, between: np.ndarray, limit: int = 200_000) -> DataFrame:
+    """(word, n, cls) for each word of the tail, its count and likeliest class, and with a null word the class pairs of the whole
+    corpus: ``n`` times the class ``cls % states`` stands after the state ``cls // states``.
+
+    A task counts the class pairs whose second word is of the head, and for each word of the tail the states before and
+    after it. A word's counts meet in one task, none of which is frequent; there it gets its class, and the pairs with it count."""
+    states, k = len(between), len(between) - 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = states_of(cls, len(words), k)
+        pairs, tail = np.zeros(states * states, np.int64), Counter[tuple[bytes, int]]()
+
+        def rows(own: list[bytes], code: np.ndarray | list[int], n: np.ndarray | list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["word", "code", "n"])
+
+        def flush() -> pa.RecordBatch:
+            out = rows([w for w, _ in tail], [c for _, c in tail], list(tail.values()))
+            tail.clear()
+            return out
+
+        for batch in batches:
+            for tokens in token_chunks(batch.column(0)):
+                at = words.places(tokens)
+                own = state[at]
+                before = _before(own, k)
+                known = at < len(words)
+                pairs += np.bincount((before * states + own)[known], minlength=states * states)
+                rest = np.flatnonzero(~known)
+                tail.update(zip([tokens[i] for i in rest.tolist()], (before * states + _after(own, k))[rest].tolist(), strict=True))
+                if len(tail) > limit:
+                    yield flush()
+        seen = np.flatnonzero(pairs)
+        # no word has a line feed
+        yield rows([END + int(x).to_bytes(4, "big") for x in seen], seen.astype(np.int32), pairs[seen])
+        if tail:
+            yield flush()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(states * states, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            entries = lists.flatten()
+            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            code, n = entries.field(0).to_numpy().astype(np.int64), entries.field(1).to_numpy()
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
+            pair = pa.compute.starts_with(batch.column(0), END).to_numpy(zero_copy_only=False)
+            pairs += np.bincount(code[pair[of]], n[pair[of]], states * states).astype(np.int64)
+            here = ~pair[of]
+            if not here.any():
+                continue
+            code, n, of = code[here], n[here], of[here]
+            side = np.stack((code // states, states + code % states), 1).ravel()
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            own = _best(gains(2 * first, side, np.repeat(n, 2), between))
+            pairs += np.bincount(code // states * states + np.repeat(own, np.diff(np.append(first, len(of)))), n, states * states).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(~pair)), pa.array(np.add.reduceat(n, first)), pa.array(own.astype(np.int32))], ["word", "n", "cls"])
+        seen = np.flatnonzero(pairs)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.binary()), pa.array(pairs[seen]), pa.array(seen.astype(np.int32))], ["word", "n", "cls"])
+
+    counted = texts.select("_text").mapInArrow(count, "word binary, code int, n long").repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return counted.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("e")).mapInArrow(assign, "word binary, n long, cls int")
+
+
 @dataclass
 class ClassModel:
-    """What the tasks need to score: of fixed size. ``follow``: log10 of a class after a class; ``per_class``: training
-    tokens and different words of each class; ``head``: words with counts."""
+    """What the tasks need to score, of bounded size. ``states``: of each word of the head and of the tail. ``follow``: log10 of
+    a class, by the state before it; ``class_tokens``, ``class_words``: training tokens and different words of each class."""
 
-    items: Items
-    cls: np.ndarray
+    words: Vocabulary
+    states: np.ndarray
     follow: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
-    head: dict[bytes, int]
-    head_counts: np.ndarray
     tokens: int
     distinct: int
     discount: float
 
     def unseen(self) -> np.ndarray:
-        """log10 of a word not seen, by class; a class without words has all its probability there."""
-        share = np.where(self.class_words > 0, self.discount * self.class_words / np.maximum(self.class_tokens, 1), 1.0)
-        return np.log10(share)
+        """The share of each class that is left to words not seen; a class without words has all its probability there."""
+        return np.where(self.class_words > 0, self.discount * self.class_words / np.maximum(self.class_tokens, 1), 1.0)
+
+    def unknown(self) -> np.ndarray:
+        """log10 of a word not seen, of whatever class, by the state before it."""
+        return np.log10(10**self.follow @ self.unseen())
 
 
 def transitions(between: np.ndarray) -> np.ndarray:
-    """log10 of each class after each, Witten-Bell between the counts of pairs and those of classes."""
+    """log10 of each class (column) after each state, Witten-Bell between the counts of pairs and those of classes."""
     total = between.sum()
-    single = (between.sum(0) + 1) / (total + len(between))
+    single = (between.sum(0) + 1) / (total + between.shape[1])
     out, kinds = between.sum(1, keepdims=True), (between > 0).sum(1, keepdims=True)
     return np.log10((between + np.maximum(kinds, 1) * single) / (out + np.maximum(kinds, 1)))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of ``counts``: all those with ``n`` from some number on. Counts are grouped by their magnitude, 8 groups
+    to a doubling, which makes a histogram of a few hundred rows; no task sorts words."""
+    group = F.floor(F.log2("n") * 8)
+    least, held = 0, 0
+    for r in sorted(counts.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["g"]):
+        held += r["n"]
+        if held > most:
+            least = r["g"] + 1
+            break
+    return counts.filter(group >= least)
+
+
 def train(texts: DataFrame, policy: LmPolicy = LmPolicy()) -> tuple[ClassModel, DataFrame]:
-    """The model of all rows of ``texts`` (column ``_text``), and the counts (word, n) of all words. Without any token
-    every class has unseen words only."""
+    """The model of all rows of ``texts`` (column ``_text``), and (word, n, cls) for all words of the tail. Without any token every
+    class has unseen words only."""
     counts = cut(count_words(texts))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(policy.head + 1).toArrow()
-    ranked = sorted(((-n, w) for w, n in zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)))
-    ends = next((-n for n, w in ranked if w == END), 0)
-    ranked = [(-n, w) for n, w in ranked if w != END][: policy.head]
-    own = [w for _, w in ranked[: policy.own]]
-    items = Items(own, policy)
-    found = count_pairs(texts, items).toArrow()
-    pairs = np.zeros(items.n * items.n, np.int64)
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    pairs = pairs.reshape(items.n, items.n)
-    cls = exchange(pairs, policy.classes, policy.sweeps)
-    c = int(cls.max()) + 1
-    member = np.zeros((items.n, c), np.int64)
-    member[np.arange(items.n), cls] = 1
-    # different words of each item; a group's are those of its words that aren't own ones
-    words = np.zeros(items.n, np.int64)
-    words[: len(own)] = 1
-    words[-1] = int(ends > 0)
-    group = F.crc32(F.substring("word", -policy.suffix, policy.suffix)) % policy.groups
-    for row in counts.groupBy(group.alias("g")).agg(F.count("*").alias("v")).collect():
-        words[len(own) + row["g"]] = row["v"]
-    for w in [*own, *[END] * (ends > 0)]:
-        words[items.group(w)] -= 1
-    head = {w: i for i, (_, w) in enumerate(ranked)} | {END: len(ranked)}
-    head_counts = np.array([n for n, _ in ranked] + [ends], np.int64)
-    model = ClassModel(items, cls, transitions((member.T @ pairs @ member).astype(float)), member.T @ pairs.sum(0), member.T @ words, head, head_counts, total["n"], total["v"], policy.discount)
-    return model, counts
-
-
-_ROWS = "_id long, _v long, word binary, m long, cls int, n_tokens long, n_known long, base double, score double"
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0)).alias("ends")).first()
+    top = most_frequent(counts.filter(F.col("word") != F.lit(END)), policy.head).toArrow()
+    ranked = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    words = Vocabulary(ranked, total["ends"], policy.own)
+    pairs = count_pairs(texts, words)
+    own = exchange(pairs, policy.classes, policy.sweeps)
+    k = int(own[-2])
+    member = np.zeros((len(own), k + 2), np.int64)
+    member[np.arange(len(own)), own] = 1
+    between = member.T @ pairs @ member
+    cls = classify_head(texts, words, own[:-2], between)
+    found = cut(classify_tail(texts, words, cls, between))
+    tail = found.filter("word IS NOT NULL")
+    whole = np.zeros((k + 2) * (k + 2))
+    for r in found.filter("word IS NULL").groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        whole[r["cls"]] = r["n"]
+    whole = whole.reshape(k + 2, k + 2)[:, : k + 1]  # no word is of the rest
+    class_of = np.append(cls, k)
+    tokens = np.bincount(class_of, words.counts, k + 1)
+    distinct = np.bincount(class_of[words.counts > 0], minlength=k + 1)
+    for r in tail.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[r["cls"]] += r["n"]
+        distinct[r["cls"]] += r["v"]
+    return ClassModel(words, states_of(cls, len(words), k), transitions(whole), tokens, distinct, total["n"], total["v"], policy.discount), tail
+
+
+_ROWS = "_id long, _v long, word binary, m long, state int, n_tokens long, n_known long, base double, score double"
 
 
 def _score_parts(model: ClassModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per text one row with what needs no more counts, under a word that no text has, and a row per other word."""
+    """Per text one row with what the head tells, under a word that no text has, and a row per word of the tail and state
+    before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, head, n_head = model.items, model.head, len(model.head)
-        item_of = items.of([*model.head])
-        head_cls, counts = model.cls[item_of], model.head_counts
-        unseen = model.unseen()
-        seen = counts > 0
-        per = np.log10(np.maximum(counts - model.discount, 1e-9)) - np.log10(np.maximum(model.class_tokens[head_cls], 1))
-        emit, base = np.where(seen, per, unseen[head_cls]), np.log10(counts + 1)
-        group_cls = model.cls[items.first : items.first + items.groups].tolist()
-        end_cls = int(model.cls[-1])
+        words, states, counts = model.words, model.states, model.words.counts
+        n_head, end = len(words), int(model.states[-2])
+        cls = states[:-1]
+        per = np.log10(np.maximum(counts - model.discount, 1e-9)) - np.log10(np.maximum(model.class_tokens[cls], 1))
+        emit, base = np.where(counts > 0, per, np.log10(model.unseen()[cls])), np.log10(counts + 1)
         for batch in batches:
             cols: tuple[list, ...] = tuple([] for _ in range(9))
             for id_, v, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = tokens_of(text.as_py())
-                at = np.array([head.get(w, n_head) for w in words], np.int64)
+                tokens = tokens_of(text.as_py())
+                at = words.places(tokens)
+                own = states[at]
+                before = _before(own, end)
                 rest = np.flatnonzero(at == n_head).tolist()
-                kinds = head_cls[np.minimum(at, n_head - 1)]
-                other: dict[bytes, int] = {}
                 if rest:
-                    tail = [words[i] for i in rest]
-                    own = Counter(tail)
-                    other = {w: group_cls[crc32(w[-items.suffix :]) % items.groups] for w in own}
-                    kinds[rest] = [other[w] for w in tail]
-                    for column, x in zip(cols, ([id_] * len(own), [v] * len(own), own.keys(), own.values(), other.values(), *[[0] * len(own)] * 4), strict=True):
+                    other = Counter(zip([tokens[i] for i in rest], before[rest].tolist(), strict=True))
+                    m = len(other)
+                    for column, x in zip(cols, ([id_] * m, [v] * m, [w for w, _ in other], other.values(), [s for _, s in other], *[[0] * m] * 4), strict=True):
                         column.extend(x)
-                near = at[at < n_head]
-                score = model.follow[np.concatenate(([end_cls], kinds[:-1])), kinds].sum() + emit[near].sum()
-                mark = b"\n" + np.int64(v).tobytes() + np.int64(id_ or 0).tobytes()
-                for column, x in zip(cols, (id_, v, mark, 0, -1, len(words), int(seen[near].sum()), float(base[near].sum()), float(score)), strict=True):
+                near = at < n_head
+                score = model.follow[before[near], own[near]].sum() + emit[at[near]].sum()
+                mark = END + np.int64(v).tobytes() + np.int64(id_ or 0).tobytes()
+                for column, x in zip(cols, (id_, v, mark, 0, -1, len(tokens), int((counts[at[near]] > 0).sum()), float(base[at[near]].sum()), float(score)), strict=True):
                     column.append(x)
             kinds_ = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], _NAMES)
@@ -282,21 +452,25 @@ _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 def score(docs: DataFrame, policy: LmPolicy = LmPolicy(), *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the model learns from
-    all rows that aren't held out. A null text is empty and has the end only; repeated rows are learnt from and returned
-    as often as they are there; an empty table gives no rows.
+    all rows that aren't held out. A null text is empty and has the end only; a null id counts as an empty one; repeated rows
+    are learnt from and returned as often as they are there; very long texts are whole; an empty table gives no rows; other
+    columns are not read.
 
-    log10 P(text) = sum over its tokens of P(class | class before) P(word | class). A word seen n times has n - discount
-    of its class's tokens, and what that leaves is the probability of the class's one symbol for words not seen.
+    log10 P(text) = sum over its tokens of P(class | state before) P(word | class). Every word of the corpus has a class of its
+    own finding; as what stands before another word it counts as its class, or, if it is of the tail, as the rest. A word
+    seen n times has n - discount of its class's tokens, and what that leaves is the probability of the class's one symbol
+    for words not seen; a word not seen may be of any class.
 
-    The most frequent words' counts go to every task, a number of them that doesn't grow; rarer words, of which none
-    is frequent by construction, meet their counts in a join on the word, one row per word and document."""
+    The classes and counts of the most frequent words go to every task, a bounded number; the others, of which none is
+    frequent by construction, meet theirs in a join on the word, one row per word, state before it and document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), version(F.col(text)).alias("_v"), F.col(text).alias("_text"))
     model, counts = train(rows.filter(~held_out(F.col("_id"))), policy)
     parts = rows.mapInArrow(_score_parts(model), _ROWS)
-    n = F.col("n")
-    tokens, unseen = (f"array({', '.join(f'{float(x)!r}D' for x in xs)})" for xs in (np.log10(np.maximum(model.class_tokens, 1)), model.unseen()))
-    emit = F.when(n.isNull(), F.expr(f"get({unseen}, cls)")).otherwise(F.log10(n - F.lit(model.discount)) - F.expr(f"get({tokens}, cls)"))
-    tail = F.col("cls") >= 0
+    n, k = F.col("n"), model.follow.shape[1]
+    known = lambda xs, at: F.expr(f"get(from_json('[{','.join(repr(float(x)) for x in xs)}]', 'array<double>'), {at})")
+    emit = F.log10(n - F.lit(model.discount)) - known(np.log10(np.maximum(model.class_tokens, 1)), "cls") + known(model.follow.ravel(), f"state * {k} + cls")
+    emit = F.when(n.isNull(), known(model.unknown(), "state")).otherwise(emit)
+    tail = F.col("state") >= 0
     joined = parts.join(counts, "word", "left").select(
         "_id",
         "_v",

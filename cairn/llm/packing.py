@@ -6,6 +6,7 @@ import base64
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,23 +20,26 @@ CACHE = 400_000
 _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _RUNS = ("  ", " \n", "\n ")
 #: Places in a sequence, pieces that one task packs, and bins that are open at once.
-CAPACITY, PIECES_A_TASK, OPEN_BINS = 2048, 25_000, 96
+CAPACITY, PIECES_A_TASK, OPEN_BINS = 2048, 25_000, 16_384
 
 
 class Encoder:
     """Token ids of a text as unsigned 32-bit numbers, one byte string. ``ranks`` names a file of the vocabulary's tokens
-    by rank, ``pattern`` its splitting rule; both give the same ids as the same vocabulary in the tokenizers library.
+    by rank, ``pattern`` its splitting rule, ``special`` its special tokens; they give the same ids as the same vocabulary
+    in the tokenizers library, which takes the strings of special tokens in a text for these tokens.
 
     The splitting rule starts a new part at every space between two characters that aren't white space, so that there
-    each word can be encoded once and kept; other texts are encoded whole. No string in a text is a special token.
+    each word can be encoded once and kept; other texts are encoded whole. Special tokens must not hold spaces.
     """
 
-    def __init__(self, ranks: str, pattern: str) -> None:
+    def __init__(self, ranks: str, pattern: str, special: dict[str, int]) -> None:
         import tiktoken
 
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode: Callable[[str], list[int]] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={}).encode_ordinary
+        known = {token: rank for token, rank in known.items() if rank not in special.values()}
+        whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens=special)
+        self.encode: Callable[[str], list[int]] = partial(whole.encode, allowed_special="all") if special else whole.encode_ordinary
         self.words: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -72,12 +76,12 @@ _PIECES = "_id long, _piece int, _start long, _length int, _crc long"
 _PACKED = _PIECES + ", _sequence long, _offset int"
 
 
-def tokenize(docs: DataFrame, ranks: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def tokenize(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """The pieces of all rows: ids of the whole text, then ``end``, cut only where longer than ``capacity``; a null
     text is empty. Only place, length and checksum of a piece leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = Encoder(ranks, pattern), array("I", [end]).tobytes()
+        encode, tail = Encoder(ranks, pattern, special), array("I", [end]).tobytes()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = batch.column(1)
@@ -126,8 +130,9 @@ class BestFit:
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_a_task: int = PIECES_A_TASK, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``pieces`` with ``_sequence`` and ``_offset``. Each task packs about ``pieces_a_task`` pieces in the order of a
-    hash, so that long and short ones mix, and numbers its sequences by itself; what it holds is the open bins."""
+    """``pieces`` with ``_sequence`` and ``_offset``. Each task packs about ``pieces_a_task`` pieces and numbers its
+    sequences by itself; what it holds is the open bins. Pieces come longest first (of equals by a hash): the long ones open
+    bins, the short ones fill them. More bins may be open than a task of pieces that long needs, so that few close early."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,17 +145,23 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_a_task: int = PI
 
     pieces = cut(pieces)
     tasks = -(-max(1, pieces.count()) // pieces_a_task)
-    return pieces.repartition(tasks).sortWithinPartitions(F.xxhash64("_id", "_piece", "_crc"), "_id", "_piece", "_crc").mapInArrow(run, _PACKED)
+    return pieces.repartition(tasks).sortWithinPartitions(F.desc("_length"), F.xxhash64("_id", "_piece", "_crc"), "_id", "_piece", "_crc").mapInArrow(run, _PACKED)
 
 
-def pack_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, **options) -> DataFrame:
-    """Every piece of every row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows
-    are packed each; an empty table gives no rows. Without ``ranks`` the public vocabulary at hand is taken."""
+#: The special tokens of the public vocabulary that is taken where none is named.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def pack_documents(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, special: dict[str, int] = SPECIAL, **options) -> DataFrame:
+    """Every piece of every row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty
+    texts are the end token alone; repeated rows, and rows that share an id or have none, are packed each; very long texts
+    are cut into pieces; an empty table gives no rows. Other columns are not read. Without ``ranks`` the public vocabulary at
+    hand is taken."""
     if ranks is None or pattern is None:
         import public_tokenizers
 
         ranks, pattern = ranks or str(public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN
-    packed = pack(tokenize(docs, ranks, pattern), **options)
+    packed = pack(tokenize(docs, ranks, pattern, special), **options)
     return packed.select(
         F.col("_id").alias("doc_id"),
         F.col("_piece").alias("piece"),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, load, version, words_of
+from cairn.llm.common import cut, join_sized, load, version, words_of
 
 
 @dataclass(frozen=True)
@@ -98,15 +99,26 @@ def judge(docs: DataFrame, policy: QualityPolicy = QualityPolicy(), *, doc_id: s
         .withColumn("_base_failed", rules["short"] | rules["repeats"])
         .withColumn("_failed", F.col("_base_failed") | rules["symbols"] | rules["dup_lines"])
     )
-    hosts = host_verdicts(measured, "_at", policy)
-    joined = measured.join(hosts, measured["_at"].eqNullSafe(hosts["_host"]), "left")
+    hosts = cut(host_verdicts(measured, "_at", policy))
+    joined = join_sized(measured, hosts, measured["_at"].eqNullSafe(hosts["_host"]), "left", _bytes(hosts))
     return joined.withColumn("_kept", ~F.col("_failed") & ~F.coalesce("_rejected", F.lit(False)))
 
 
+def _bytes(hosts: DataFrame) -> int:
+    return hosts.agg(F.sum(F.coalesce(F.octet_length("_host"), F.lit(0)) + 64)).first()[0] or 0
+
+
 def filter_stage(docs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns; repeated rows stay repeated."""
-    gone = judge(docs, policy).filter(~F.col("_kept")).select("_id", "_v").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (version(docs["text"]) == gone["_v"]), "left_anti")
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; repeated rows stay repeated. Texts are measured once and
+    stay where they are: a row that fails goes at once, the others are written with their hosts, and only the hosts
+    that are rejected are sent to them."""
+    rules = failures(policy)
+    measured = measure(docs, {"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "_at": F.col("source")}, window=policy.window)
+    failed = reduce(Column.__or__, rules.values())
+    measured = cut(measured.withColumn("_failed", failed).select("_at", "_failed", F.when(~F.col("_failed"), F.col("_row")).alias("_row")))
+    rejected = cut(host_verdicts(measured, "_at", policy).filter("_rejected").select("_host"))
+    kept = join_sized(measured.filter("NOT _failed"), rejected, measured["_at"].eqNullSafe(rejected["_host"]), "left_anti", _bytes(rejected))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,38 +1,45 @@
-"""Toxicity by compression distance: how much better a window compresses with a dictionary of toxic text."""
+"""Toxicity by compression distance: how much better a window compresses with a dictionary trained on toxic text."""
 
 from __future__ import annotations
 
 import math
+import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import load
+from cairn.llm.common import cut, load
 
 
 @dataclass(frozen=True)
 class ToxicityPolicy:
-    """``window`` and ``step`` in bytes. ``max_toxic`` and ``max_ordinary`` bound the labelled rows that are fitted on the
-    driver, those first by a hash of their ids; four fifths make the dictionaries, the rest calibrates. A toxic segment is in at least
-    ``min_rows`` toxic rows, whatever share of them that is, ``min_ratio`` times as common there as in the others, and in so many
-    that of all segments tried fewer than ``chance`` are expected to be so by chance. A toxic row with ``enough`` segments needs
-    no others. ``levels``: gains in bytes that count."""
+    """``window`` and ``step`` in bytes. ``max_toxic``, ``max_ordinary`` and ``max_bytes`` (of either kind) bound the labelled
+    rows that are fitted on the driver, those first by a hash of their ids; four fifths train the dictionaries, the rest
+    calibrates. A segment that marks toxic text is in at least ``min_rows`` toxic rows, whatever share of them that is,
+    ``min_ratio`` times as common there as in the others, and in so many that of all segments tried fewer than ``chance`` are
+    expected to be so by chance. A toxic row with ``enough`` segments needs no others. ``dictionary`` (bytes, at most), ``cover``
+    and ``gram`` are zstandard's: parts of ``cover`` bytes, chosen by how frequent their ``gram``-byte runs are. ``levels``: gains in
+    bytes that count."""
 
     window: int = 64
     step: int = 48
     max_toxic: int = 1500
     max_ordinary: int = 3000
+    max_bytes: int = 32 << 20
     segment_lengths: tuple[int, ...] = (4, 5, 6, 8, 10, 12)
     min_rows: int = 4
     min_ratio: float = 8.0
     chance: float = 0.05
     enough: int = 6
-    common_words: int = 300
+    dictionary: int = 4096
+    cover: int = 16
+    gram: int = 6
     levels: tuple[int, ...] = (1, 2, 3, 4, 5)
     threshold: float = 0.3
 
@@ -102,24 +109,57 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], policy: ToxicityPo
     return out
 
 
+def toxic_text(toxic: list[bytes], segments: list[bytes]) -> list[bytes]:
+    """The words of toxic texts that have a segment, as often as they stand, with the spaces about them: what is toxic in
+    texts that are ordinary otherwise. Copies count once."""
+    if not segments:
+        return []
+    marks = re.compile(b"|".join(map(re.escape, segments)))
+    return [b" " + w + b" " for t in without_copies(toxic) for w in t.split() if marks.search(w)]
+
+
+#: The last part of a zstandard dictionary's header: the three offsets it starts with.
+_OFFSETS = struct.pack("<3I", 1, 4, 8)
+
+
+def trained(samples: list[bytes], policy: ToxicityPolicy) -> bytes:
+    """The content of the dictionary that zstandard trains on ``samples``, without its header. Few samples are taken several
+    times, as it refuses them else; of so few that it still does, the dictionary is all of them."""
+    import zstandard as z
+
+    if not samples:
+        return b""
+    samples = samples * -(-64 // len(samples))
+    size = policy.dictionary
+    while size >= 256:
+        try:
+            made = z.train_dictionary(size, samples, k=policy.cover, d=policy.gram, steps=1).as_bytes()
+        except z.ZstdError:
+            size //= 2
+            continue
+        return made[made.index(_OFFSETS) + len(_OFFSETS) :]
+    return b"".join(dict.fromkeys(samples))[: policy.dictionary]
+
+
 class Gain:
     """Bytes by which the toxic dictionary shortens each window, over the ordinary one.
 
-    Both dictionaries hold the common words, so that only toxic segments tell them apart. A window is compressed doubled:
-    its second half is one long match with either, so that it never falls back to being stored as it is, and every
-    match in its first half shows. The compressor's window and tables cover the whole of the larger dictionary."""
+    The toxic dictionary goes on where the ordinary one ends, so that both hold what all texts share, and only toxic text
+    tells them apart. A window is compressed doubled: its second half is one long match with either, so that it never
+    falls back to being stored as it is, and every match in its first half shows. The compressor's window and tables
+    cover the whole of the larger dictionary."""
 
-    def __init__(self, common: bytes, toxic: bytes, window: int, step: int) -> None:
+    def __init__(self, ordinary: bytes, toxic: bytes, window: int, step: int) -> None:
         import zstandard as z
 
-        log = max(12, (len(common) + 1 + len(toxic) + 2 * window).bit_length())
+        log = max(12, (len(ordinary) + len(toxic) + 2 * window).bit_length())
 
         def using(content: bytes) -> z.ZstdCompressor:
             words = z.ZstdCompressionDict(content.ljust(16, b"\0"), dict_type=z.DICT_TYPE_RAWCONTENT)
             kind = {"window_log": log, "hash_log": log, "chain_log": log, "search_log": 4, "min_match": 4, "strategy": z.STRATEGY_GREEDY}
             return z.ZstdCompressor(dict_data=words, compression_params=z.ZstdCompressionParameters(**kind, write_content_size=0, write_checksum=0, write_dict_id=0))
 
-        self.ordinary, self.toxic = using(common), using(common + b"\0" + toxic)
+        self.ordinary, self.toxic = using(ordinary), using(ordinary + toxic)
         self.window, self.step = window, step
 
     def __call__(self, data: bytes) -> np.ndarray:
@@ -129,17 +169,20 @@ class Gain:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    common: bytes
+    """The dictionaries' contents, the weights of ``features``, the first the bias, and the score where there are none."""
+
+    ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    constant: float
     policy: ToxicityPolicy
 
     def gain(self) -> Gain:
-        return Gain(self.common, self.toxic, self.policy.window, self.policy.step)
+        return Gain(self.ordinary, self.toxic, self.policy.window, self.policy.step)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if not self.weights:
-            return np.zeros(len(features))
+            return np.full(len(features), self.constant)
         return 1 / (1 + np.exp(-np.clip(_ones(features) @ np.array(self.weights), -30, 30)))
 
 
@@ -168,32 +211,56 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], rates: tuple[float, float], policy: ToxicityPolicy = ToxicityPolicy()) -> ToxicityModel:
-    """``rates``: how many labelled rows each sampled one stands for. Without both kinds of rows all scores are zero."""
-    if len(toxic) < 5 or len(ordinary) < 5:
-        return ToxicityModel(b"", b"", (), policy)
+    """``rates``: how many labelled rows each sampled one stands for. Where one kind has no rows nothing tells texts apart: all
+    score the toxic share of the rows with half a row added to either kind, and 0 where there are no rows at all."""
     part = lambda rows, own: [t for i, t in enumerate(rows) if (i % 5 == 0) == own]
+    if not toxic or not ordinary:
+        n = len(toxic) * rates[0] + len(ordinary) * rates[1]
+        return ToxicityModel(b"", b"", (), (len(toxic) * rates[0] + 0.5) / (n + 1) if n else 0.0, policy)
     segments = toxic_segments(part(toxic, False), part(ordinary, False), policy)
-    words = Counter(w for t in part(ordinary, False) for w in t.split())
-    common = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: policy.common_words]]
-    model = ToxicityModel(b"\0".join(reversed(common)), b"\0".join(reversed(segments)), (), policy)
+    common = trained([w for t in part(ordinary, False) for w in windows(t, policy.window, policy.window)], policy)
+    model = ToxicityModel(common, trained(toxic_text(part(toxic, False), segments), policy), (), 0.0, policy)
     gain = model.gain()
     rows = [(features(gain(t), policy.levels), kind) for kind, texts in ((1, part(toxic, True)), (0, part(ordinary, True))) for t in texts]
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     weights = logistic(x, y, np.where(y == 1, rates[0], rates[1]) / min(rates))
-    return ToxicityModel(model.common, model.toxic, tuple(weights.tolist()), policy)
+    return ToxicityModel(model.ordinary, model.toxic, tuple(weights.tolist()), 0.0, policy)
+
+
+def first_by_hash(rows: DataFrame, n: int, most: int, key: str = "doc_id", parts: int = 512) -> DataFrame:
+    """Of ``n`` rows at most ``most``, those first by a hash of ``key``, and nearly that many: whole ones of ``parts`` ranges of
+    the hash, which are counted where the rows are. No task sorts or gets more than it has."""
+    if n <= most:
+        return rows
+    share = min(1.0, 2.0 * most / n)
+    at = F.shiftrightunsigned(F.xxhash64(F.lit(most), key), 11) / F.lit(float(1 << 53)) * F.lit(parts / share)
+    placed = rows.withColumn("_at", F.floor(at)).filter(F.col("_at") < parts)
+    counts = {r["_at"]: r["n"] for r in placed.groupBy("_at").agg(F.count("*").alias("n")).collect()}
+    end = held = 0
+    while end < parts and held + counts.get(end, 0) <= most:
+        held += counts.get(end, 0)
+        end += 1
+    return placed.filter(F.col("_at") < end).drop("_at")
 
 
 def train(docs: DataFrame, labels: DataFrame, policy: ToxicityPolicy = ToxicityPolicy()) -> ToxicityModel:
     """Fits on a sample of the rows of ``labels`` that aren't held out and have a label, at most ``max_toxic`` and ``max_ordinary`` of
-    them, whole texts. Their ids, of bounded number, are sent to the tasks that read the texts."""
-    known = labels.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1))
+    them and ``max_bytes`` of either, whole texts. Of repeated labels the larger counts, of texts under one id the first;
+    labels without a text, and null ids, are passed over. The ids, of bounded number, are sent to the tasks that read the texts."""
+    known = labels.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = cut(known)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    first = lambda kind, most: known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = first(1, policy.max_toxic).unionByName(first(0, policy.max_ordinary))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("toxic", "text").toArrow().to_pylist()
-    kinds = [[plain(r["text"]) for r in texts if r["toxic"] == kind] for kind in (1, 0)]
-    rates = tuple(n.get(kind, 0) / max(1, min(n.get(kind, 0), most)) or 1.0 for kind, most in ((1, policy.max_toxic), (0, policy.max_ordinary)))
-    return fit(*kinds, rates, policy)
+    bounds = ((1, policy.max_toxic), (0, policy.max_ordinary))
+    chosen = [first_by_hash(known.filter(F.col("toxic") == kind), n.get(kind, 0), most) for kind, most in bounds]
+    texts = cut(docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = texts.select("doc_id", "toxic", F.octet_length("text").alias("_size"))
+    fits = sizes.withColumn("_size", F.sum("_size").over(before)).filter(F.col("_size") <= policy.max_bytes).select("doc_id")
+    kinds: dict[int, list[bytes]] = {1: [], 0: []}
+    for r in texts.join(F.broadcast(fits), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "text").toArrow().to_pylist():
+        kinds[r["toxic"]].append(plain(r["text"]))
+    rates = tuple(n.get(kind, 0) / max(1, len(kinds[kind])) or 1.0 for kind, _ in bounds)
+    return fit(kinds[1], kinds[0], rates, policy)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

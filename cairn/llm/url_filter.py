@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import LOWER, UPPER, load
+from cairn.llm.url_labels import LABELLED
 
 #: Buckets for n-grams, their length, and the most labelled rows that ``train`` takes: training is on the driver.
 BUCKETS, GRAM, MAX_LABELLED = 4096, 3, 10_000
@@ -17,22 +17,6 @@ BUCKETS, GRAM, MAX_LABELLED = 4096, 3, 10_000
 #: The rules, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: URLs labelled by hand, those to block and those to allow.
-BLOCKED = (
-    "http://casino.example.com/win/jackpot", "https://free-casino-bonus.example.com/slots/", "http://bet.example.org/poker/online", "https://poker-online.example.com/bonus/play",
-    "http://viagra-cheap.example.org/pills/buy", "https://pharmacy.example.com/cheap/pills", "http://xxx.example.com/adult/video", "https://adult-cams.example.org/live/xxx",
-    "http://porn.example.com/tube/free", "https://sex-dating.example.com/join", "http://download-crack.example.org/keygen/serial", "https://warez.example.com/crack/full/",
-    "http://click.ads.example.com/track?id=7", "https://adserver.example.org/banner/popup", "http://track.example.com/redirect/offer", "https://spam.example.com/offer/free-money",
-    "http://loans-fast.example.org/payday/apply", "https://payday-loans.example.com/cash/now", "http://replica-watches.example.org/buy/cheap", "https://miracle-diet.example.com/weight/loss/pills",
-)
-ALLOWED = (
-    "http://news.example.com/en/2024/economy.html", "https://blog.example.org/en/notes/reading", "http://www.example.com/en/1024.html", "https://m.example.com/es/2291/",
-    "http://docs.example.org/guide/install", "https://wiki.example.org/en/history", "http://library.example.com/fr/catalogue/331", "https://school.example.org/de/lesson/4",
-    "http://museum.example.com/es/collection/17", "https://research.example.org/en/paper/881.html", "http://forum.example.com/en/topic/90", "https://recipes.example.org/es/soup",
-    "http://tionble.example.com/en/7198", "https://thering.example.org/de/39547.html", "http://thernd.example.com/en/9897/", "https://ththly.example.org/en/31318.html",
-    "http://www.example.org/es/5099", "https://blog.example.com/fr/26123", "http://therst.example.com/en/29167/", "https://m.example.org/en/35332/",
-)
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host, A-Z lower-cased: after the first ``://`` up to ``/``, ``?``, ``#`` or the end. The path: then up to ``?``,
@@ -60,11 +44,27 @@ def buckets_of(text: str, gram: int = GRAM, buckets: int = BUCKETS) -> list[int]
     return [sum(ord(c) * 257**k for k, c in enumerate(reversed(g))) % buckets for g in grams]
 
 
-def train(labelled: list[tuple[str, int]], *, epochs: int = 300, rate: float = 20.0, decay: float = 1e-3, max_labelled: int = MAX_LABELLED) -> Model:
-    """Batch gradient descent on (host and path, 1 to block or 0 to allow). The table is small by contract: more than
-    ``max_labelled`` rows are refused, and an empty one gives a model that allows all."""
-    if len(labelled) > max_labelled:
-        raise ValueError(f"{len(labelled)} labelled URLs; at most {max_labelled} are taken")
+def labels() -> list[tuple[str, int]]:
+    return [(url, int(label == "block")) for label, _, url in (line.partition(" ") for line in LABELLED.strip().splitlines())]
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The table at hand: (url, blocked), blocked 1 or 0."""
+    return spark.createDataFrame(labels(), "url string, blocked int")
+
+
+def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Batch gradient descent on host and path of the labelled table's urls (url, blocked). The table is small by contract: more
+    than ``max_labelled`` rows are refused; rows without a label, or with another than 0 and 1, are passed over; a null url
+    is empty, repeated ones count as often; an empty table gives a model that allows all."""
+    host, path = host_and_path(F.col("url"))
+    rows = labelled.filter(F.col("blocked").isin(0, 1)).select(F.concat(host, path).alias("text"), F.col("blocked").cast("int").alias("blocked")).take(max_labelled + 1)
+    if len(rows) > max_labelled:
+        raise ValueError(f"more than the {max_labelled} labelled URLs that are taken")
+    return fit([(r["text"], r["blocked"]) for r in rows])
+
+
+def fit(labelled: list[tuple[str, int]], *, epochs: int = 300, rate: float = 500.0, decay: float = 1e-3) -> Model:
     if not labelled:
         return Model((0.0,) * BUCKETS, -1.0)
     rows = [(buckets_of(text), label) for text, label in sorted(labelled)]
@@ -78,55 +78,59 @@ def train(labelled: list[tuple[str, int]], *, epochs: int = 300, rate: float = 2
                 step[b] += miss / len(bs)
         bias += shift / len(rows)
         for b, x in step.items():
-            w[b] += rate * (x / len(rows)) * 10 - decay * w[b]
+            w[b] += rate * x / len(rows) - decay * w[b]
     return Model(tuple(round(x, 6) for x in w), round(bias, 6))
 
 
 def _plain(url: str) -> str:
+    """Host and path, as ``host_and_path`` has them."""
     rest = url.partition("://")[2]
     cut = min((i for c in "?#" if (i := rest.find(c)) >= 0), default=len(rest))
     host, slash, path = rest[:cut].partition("/")
     return host.lower() + slash + path
 
 
-@lru_cache(maxsize=1)
 def own_model() -> Model:
-    return train([(_plain(u), 1) for u in BLOCKED] + [(_plain(u), 0) for u in ALLOWED])
+    """The model of the table at hand, without a session."""
+    return fit([(_plain(url), label) for url, label in labels()])
 
 
-def with_log_odds(df: DataFrame, text: Column, model: Model, name: str = "_log_odds") -> DataFrame:
-    """``df`` with the model's log odds for a text, by SQL functions only; the weights are a literal of fixed size."""
+def log_odds(text: Column, model: Model) -> Column:
+    """The model's log odds for a text, by SQL functions only and without columns of its own; the weights are a literal of
+    fixed size."""
     n, buckets = model.gram, len(model.weights)
-    digits = " + ".join(f"coalesce(get(_c, i + {k}), 0L) * {257 ** (n - 1 - k)}L" if n - 1 - k else f"coalesce(get(_c, i + {k}), 0L)" for k in range(n))
-    weights = f"from_json('[{','.join(map(repr, model.weights))}]', 'array<double>')"
-    return (
-        df.withColumn("_c", F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long")))
-        .withColumn("_b", F.expr(f"transform(sequence(0, greatest(size(_c) - {n}, 0)), i -> CAST(({digits}) % {buckets} AS INT))"))
-        .withColumn(name, F.expr(f"aggregate(_b, 0D, (a, b) -> a + get({weights}, b)) / size(_b) + {model.bias!r}D"))
-        .drop("_c", "_b")
-    )
+    weights = F.from_json(F.lit(f"[{','.join(map(repr, model.weights))}]"), "array<double>")
+
+    def of(codes: Column) -> Column:
+        digit = lambda i, k: F.coalesce(F.get(codes, i + k), F.lit(0).cast("long")) * F.lit(257 ** (n - 1 - k)).cast("long")
+        at = F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - n, F.lit(0))), lambda i: (sum((digit(i, k) for k in range(1, n)), digit(i, 0)) % buckets).cast("int"))
+        return F.transform(F.array(at), lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(weights, x)) / F.size(b))[0]
+
+    points = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
+    return F.transform(F.array(points), of)[0] + F.lit(model.bias)
 
 
 def judge_urls(pages: DataFrame, *, rules: tuple = RULES, model: Model | None = None, url: str = "url") -> DataFrame:
-    """``pages`` with ``_host``, ``_path``, ``_rule`` and ``_verdict``. A rule fits its host and all subdomains where the
-    path starts with the rule's; the longest that fits wins (of equals, a block). Without a rule the model blocks at
-    log odds above zero. A null url has empty host and path, fits no rule and goes to the model as an empty text."""
-    host, path = host_and_path(F.col(url))
+    """``pages`` with one more column, ``_cairn``: struct<host, path, rule, verdict>; a table that has it already is refused, all
+    other columns stay as they are. A rule fits its host and all subdomains where the path starts with the rule's; the
+    longest that fits wins (of equals, a block). Without a rule the model blocks at log odds above zero. A null url has
+    empty host and path, fits no rule and goes to the model as an empty text; very long ones are judged whole; repeated
+    rows are judged each; an empty table gives no rows."""
+    if "_cairn" in pages.columns:
+        raise ValueError("the table has a column _cairn already")
     ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1] + r[2]))
-    fits = {h + p: (F.col("_host") == h) | F.col("_host").endswith("." + h) for _, h, p in ranked}
-    rule = verdict = None
-    for kind, h, p in ranked:
-        cond = fits[h + p] & F.col("_path").startswith(p)
-        rule = F.when(cond, h + p) if rule is None else rule.when(cond, h + p)
-        verdict = F.when(cond, kind) if verdict is None else verdict.when(cond, kind)
-    scored = with_log_odds(pages.withColumn("_host", host).withColumn("_path", path), F.concat("_host", "_path"), model or own_model())
-    by_model = F.when(F.col("_log_odds") > 0, "block").otherwise("allow")
-    return scored.withColumn("_rule", F.lit(None).cast("string") if rule is None else rule).withColumn("_verdict", by_model if verdict is None else verdict.otherwise(by_model))
+    placed = pages.withColumn("_cairn", F.struct(*[c.alias(n) for c, n in zip(host_and_path(F.col(url)), ("host", "path"), strict=True)]))
+    host, path = F.col("_cairn.host"), F.col("_cairn.path")
+    rule, verdict = F.lit(None).cast("string"), F.when(log_odds(F.concat(host, path), model or own_model()) > 0, "block").otherwise("allow")
+    for kind, h, p in reversed(ranked):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(verdict)
+    return placed.withColumn("_cairn", F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict")))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_urls(load(spark, sf_dir, "pages", "page_id", "url"))
-    return judged.select("page_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+    judged = judge_urls(load(spark, sf_dir, "pages", "page_id", "url"), model=train(labelled_urls(spark)))
+    return judged.select("page_id", "_cairn.host", "_cairn.path", "_cairn.rule", "_cairn.verdict")
 
 
 def sql_op8() -> str:
