@@ -9,22 +9,29 @@ from cairn.llm.common import checkpoint_path, load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule and whose host is not rejected, whole rows. A null text fails as too short; a null source is a host
+    like others; repeated rows fare alike; all columns, of whatever names, stay; an empty table stays empty."""
     return quality.filter_stage(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many of them share, each kept in the largest id only; ``n_chars`` follows. Null texts
+    and rows without an id stay as they are."""
     return line_dedup.dedup_stage(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies, the one with the least id; empty texts are one group; rows without an id stay."""
     return near_dup.dedup_stage(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark, whole rows; null and empty texts have none."""
     return decontaminate.clean_stage(docs, load(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the sequences; null and empty texts are an end token alone."""
     return packing.pack_documents(docs)
 
 

@@ -47,5 +47,5 @@ def test_every_query_has_sql():
 def test_entry_imports_without_optional_parts(monkeypatch):
     import __spark_entry__
 
-    monkeypatch.setattr(__spark_entry__, "_llm", lambda: False)
+    monkeypatch.setattr(__spark_entry__, "_llm", lambda: (None, None))
     assert set(__spark_entry__.queries()) == set(registry.queries())
