@@ -41,3 +41,8 @@ def quaternion_product(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Co
 def rotation_angle(q: tuple[Column, ...]) -> Column:
     x, y, z, w = q
     return 2 * F.atan2(F.sqrt(x * x + y * y + z * z), F.abs(w))
+
+
+def at_most(value: Column, threshold: Column | float, tolerance: float) -> Column:
+    """meets, fails or, within the tolerance of the threshold, within_tolerance."""
+    return F.when(value + tolerance <= threshold, "meets").when(value - tolerance > threshold, "fails").when(value.isNotNull(), "within_tolerance")

@@ -67,3 +67,16 @@ def demote_inconsistent(relations: DataFrame) -> DataFrame:
     other = relations.filter("state = 'supported'").select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"), F.lit(True).alias("_both")).distinct()
     joined = relations.join(other, ["subject", "predicate", "object"], "left")
     return joined.withColumn("state", F.when((F.col("state") == "supported") & F.col("_both"), "unresolved").otherwise(F.col("state"))).drop("_both")
+
+
+def materialize(supports: DataFrame) -> DataFrame:
+    """(support, entity, rejection): one entity for each support (support, refs, resolved, first_t, last_t, valid), or why there is none: the
+    first of empty_geometry, unresolvable_geometry, invalid_temporal_evidence and invalid_entity."""
+    timed = F.coalesce(F.col("first_t") <= F.col("last_t"), F.lit(False))
+    rejection = (
+        F.when(F.coalesce("refs", F.lit(0)) == 0, "empty_geometry")
+        .when(F.coalesce("resolved", F.lit(0)) < F.col("refs"), "unresolvable_geometry")
+        .when(~timed, "invalid_temporal_evidence")
+        .when(~F.coalesce("valid", F.lit(False)), "invalid_entity")
+    )
+    return supports.select("support", F.when(rejection.isNull(), F.concat(F.lit("entity-"), F.col("support").cast("string"))).alias("entity"), rejection.alias("rejection"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.graphs import cut
 from cairn.operators.voxel import cell_of
 
 AXES = ("x", "y", "z")
@@ -28,30 +31,55 @@ def distance2(axes: tuple[str, ...] = AXES, left: str = "", right: str = "o_") -
     return sum(terms[1:], terms[0])
 
 
-def within_radius(centres: DataFrame, points: DataFrame, radius: float, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """(centre, point, d2) for all pairs within ``radius``, the boundary included. Cells are as wide as the radius, so the
-    neighbours of a centre's cell hold all; only the centres, the smaller side, are repeated."""
-    own = points.select(F.col("point").alias("o_point"), *[F.col(a).alias(f"o_{a}") for a in axes], *[cell_of(F.col(a), radius).alias(f"c{a}") for a in axes])
-    near = neighbour_cells(centres.select(F.col("point").alias("centre"), *axes), radius, axes=axes).join(own, _cells(axes))
+def within_radius(centres: DataFrame, points: DataFrame, radius: float, axes: tuple[str, ...] = AXES, group: str | None = None) -> DataFrame:
+    """(centre, point, d2) for all pairs within ``radius``, the boundary included, of one ``group`` where one is named. Cells are as wide as
+    the radius, so the neighbours of a centre's cell hold all; only the centres, the smaller side, are repeated."""
+    own_group = [] if group is None else [group]
+    own = points.select(*own_group, F.col("point").alias("o_point"), *[F.col(a).alias(f"o_{a}") for a in axes], *[cell_of(F.col(a), radius).alias(f"c{a}") for a in axes])
+    near = neighbour_cells(centres.select(*own_group, F.col("point").alias("centre"), *axes), radius, axes=axes).join(own, own_group + _cells(axes))
     return near.withColumn("d2", distance2(axes)).filter(F.col("d2") <= radius * radius).select("centre", F.col("o_point").alias("point"), "d2")
 
 
-def nearest_k(centres: DataFrame, points: DataFrame, k: int, radius: float, axes: tuple[str, ...] = AXES, doublings: int = 12) -> DataFrame:
-    """The ``k`` nearest points of each centre by (distance, id): within ``radius``, which doubles for the centres that
-    have fewer until none is left or it has doubled ``doublings`` times."""
+def neighbourhoods(centres: DataFrame, points: DataFrame, radius: float, most: int, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """(centre, point, d2, rank, candidates): of all points within ``radius`` the first ``most`` by rank, the centre itself before all others,
+    then by distance and id; ``candidates`` is how many there were before the cut."""
+    found = within_radius(centres, points, radius, axes)
+    own = Window.partitionBy("centre")
+    ranked = found.withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.col("centre") == F.col("point")), "d2", "point"))).withColumn("candidates", F.count("*").over(own))
+    return ranked.filter(F.col("rank") <= most)
+
+
+def _reach(frames: list[DataFrame], axes: tuple[str, ...]) -> float | None:
+    """The diagonal of the box about all points; None without any."""
+    both = reduce(DataFrame.unionByName, [f.select(*axes) for f in frames])
+    box = both.agg(*[f(a).alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "min"), (F.max, "max"))]).first()
+    if box[f"min_{axes[0]}"] is None:
+        return None
+    return sum((box[f"max_{a}"] - box[f"min_{a}"]) ** 2 for a in axes) ** 0.5
+
+
+def nearest_k(centres: DataFrame, points: DataFrame, k: int, radius: float, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """(centre, point, d2, rank) for the ``k`` nearest points of each centre by (distance, id), all of them where there are fewer: within
+    ``radius``, which doubles for the centres that have fewer until it spans the box about all points. The centres that are left
+    are written each round."""
+    span = _reach([centres, points], axes)
     out, left = None, centres
-    for _ in range(doublings + 1):
+    while True:
         found = within_radius(left, points, radius, axes)
         rank = F.row_number().over(Window.partitionBy("centre").orderBy("d2", "point"))
         ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-        enough = ranked.filter(F.col("rank") == k).select("centre")
-        done = ranked.join(enough, "centre", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(enough, left["point"] == enough["centre"], "left_anti")
+        last = span is None or radius >= span
+        if not last:
+            ranked = cut(ranked)
+            enough = ranked.filter(F.col("rank") == k).select("centre")
+            done = ranked.join(enough, "centre", "left_semi")
+            left = cut(left.join(enough, left["point"] == enough["centre"], "left_anti"))
+            last = left.isEmpty()
+            ranked = done
+        out = ranked if out is None else out.unionByName(ranked)
+        if last:
+            return out
         radius *= 2
-        if left.isEmpty():
-            break
-    return out
 
 
 def min_filter(cells: DataFrame, reach: int, value: str = "depth") -> DataFrame:
@@ -81,3 +109,74 @@ def box_pairs(boxes: DataFrame, margin: float, cell: float, axes: tuple[str, ...
     for a in axes:
         pairs = pairs.filter(F.col(f"c{a}") == F.greatest(f"a_l{a}", f"b_l{a}"))
     return pairs.withColumn("gap", box_gap(axes)).filter(F.col("gap") <= margin).select(F.col("a_box").alias("a"), F.col("b_box").alias("b"), "gap")
+
+
+#: Cells that a box may touch and still be dealt to them; larger ones are compared with all boxes of their group.
+MOST_CELLS = 512
+
+
+def entity_candidates(entities: DataFrame, radius: float, margin: float, max_time_gap: int | None = None) -> DataFrame:
+    """(a, b, reasons) for all pairs a < b of entities of one map and frame that are near: centroids within ``radius`` (near_centroids) or
+    boxes at most ``margin`` apart (near_bounds). Pairs whose times are more than ``max_time_gap`` apart are left out.
+    ``entities``: entity, map, frame, cx, cy, cz, the box, first_t, last_t.
+
+    A box, grown by half the wider of both distances, goes to the cells it touches, with its centroid in it, so that each near
+    pair meets in the first cell that both touch; a box that touches more than ``MOST_CELLS`` meets all of its group, by an
+    equi-join on the group of which one side is these boxes only."""
+    wide = max(radius, margin)
+    cell = max(wide, 1e-9)
+    low = {a: cell_of(F.col(f"min_{a}") - wide / 2, cell) for a in AXES}
+    high = {a: cell_of(F.col(f"max_{a}") + wide / 2, cell) for a in AXES}
+    sized = entities.select("*", *[low[a].alias(f"l{a}") for a in AXES], *[high[a].alias(f"h{a}") for a in AXES])
+    cells = (F.col("hx") - F.col("lx") + 1) * (F.col("hy") - F.col("ly") + 1) * (F.col("hz") - F.col("lz") + 1)
+    sized = sized.withColumn("_large", cells > MOST_CELLS)
+    group = ["map", "frame"]
+    names = [c for c in sized.columns if c not in group]
+    side = lambda rows, n, *keep: rows.select(*group, *keep, *[F.col(c).alias(f"{n}_{c}") for c in names])
+    placed = sized.filter("NOT _large")
+    cells_ = [f"_cell_{a}" for a in AXES]
+    for a, c in zip(AXES, cells_, strict=True):
+        placed = placed.withColumn(c, F.explode(F.sequence(f"l{a}", f"h{a}")))
+    met = side(placed, "a", *cells_).join(side(placed, "b", *cells_), group + cells_).filter("a_entity < b_entity")
+    for a, c in zip(AXES, cells_, strict=True):
+        met = met.filter(F.col(c) == F.greatest(f"a_l{a}", f"b_l{a}"))
+    wide_ones = side(sized.filter("_large"), "a").join(side(sized, "b"), group).filter("a_entity <> b_entity AND (NOT b__large OR a_entity < b_entity)")
+    columns = [*group, *[f"{n}_{c}" for n in "ab" for c in names]]
+    pairs = met.select(*columns).unionByName(wide_ones.select(*columns))
+    apart = F.sqrt(sum(((F.col(f"a_c{a}") - F.col(f"b_c{a}")) ** 2 for a in "yz"), (F.col("a_cx") - F.col("b_cx")) ** 2))
+    reasons = F.array_compact(F.array(F.when(apart <= radius, "near_centroids"), F.when(box_gap(AXES) <= margin, "near_bounds")))
+    pairs = pairs.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+    if max_time_gap is not None:
+        pairs = pairs.filter(F.greatest("a_first_t", "b_first_t") - F.least("a_last_t", "b_last_t") <= max_time_gap)
+    return pairs.select(F.least("a_entity", "b_entity").alias("a"), F.greatest("a_entity", "b_entity").alias("b"), "reasons")
+
+
+def interval_pairs(boxes: DataFrame, reach: float, axes: tuple[str, ...] = AXES, slots: int = 4096) -> DataFrame:
+    """(a, b), a < b, of the boxes whose intervals are at most ``reach`` apart on every axis. A sweep by slots: on the axis on which the
+    centres spread most a box goes to every slot that its interval, grown by the reach, touches, and a pair is kept where it
+    meets first. Slots are ``slots`` parts of the spread, no narrower than the reach, and few boxes share one."""
+    spread = boxes.agg(*[(F.max(F.col(f"min_{a}") + F.col(f"max_{a}")) - F.min(F.col(f"min_{a}") + F.col(f"max_{a}"))).alias(a) for a in axes], F.count("*").alias("n")).first()
+    if not spread["n"]:
+        return boxes.select(F.col("box").alias("a"), F.col("box").alias("b")).limit(0)
+    axis = max(axes, key=lambda a: spread[a])
+    width = max(reach, spread[axis] / 2 / slots, 1e-9)
+    names = ["box", *[f"{m}_{a}" for a in axes for m in ("min", "max")]]
+    placed = boxes.select(*names, cell_of(F.col(f"min_{axis}") - reach / 2, width).alias("l"), cell_of(F.col(f"max_{axis}") + reach / 2, width).alias("h")).withColumn("slot", F.explode(F.sequence("l", "h")))
+    side = lambda n: placed.select("slot", *[F.col(c).alias(f"{n}_{c}") for c in (*names, "l")])
+    pairs = side("a").join(side("b"), "slot").filter((F.col("a_box") < F.col("b_box")) & (F.col("slot") == F.greatest("a_l", "b_l")))
+    for a in axes:
+        pairs = pairs.filter(F.least(f"a_max_{a}", f"b_max_{a}") - F.greatest(f"a_min_{a}", f"b_min_{a}") >= -reach)
+    return pairs.select(F.col("a_box").alias("a"), F.col("b_box").alias("b"))
+
+
+def contact_pairs(points: DataFrame, search: float, contact: float) -> DataFrame:
+    """(subject, object, nearest, pairs, contacts_s, contacts_o), both ways, for entities with points (entity, point, x, y, z) within ``search`` of
+    each other: the least distance, the pairs within the search radius, and the different points of either that have one of the
+    other within ``contact``. An equi-join on cells; sums are combined before the shuffle by entities."""
+    own = points.select(F.col("entity").alias("object"), F.col("point").alias("_q"), *[F.col(a).alias(f"o_{a}") for a in AXES], *[cell_of(F.col(a), search).alias(f"c{a}") for a in AXES])
+    near = neighbour_cells(points.select(F.col("entity").alias("subject"), F.col("point").alias("_p"), *AXES), search).join(own, _cells(AXES)).filter("subject <> object")
+    near = near.withColumn("_d", distance2(AXES)).filter(F.col("_d") <= search * search)
+    touch = F.col("_d") <= contact * contact
+    return near.groupBy("subject", "object").agg(
+        F.sqrt(F.min("_d")).alias("nearest"), F.count("*").alias("pairs"), F.countDistinct(F.when(touch, F.col("_p"))).alias("contacts_s"), F.countDistinct(F.when(touch, F.col("_q"))).alias("contacts_o")
+    )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def nearest_within(anchors: DataFrame, candidates: DataFrame, tolerance: int, *, clock: str = "clock") -> DataFrame:
     """Per anchor (clock, anchor_id, t) the candidate (clock, candidate_id, t) at the least distance, at most
-    ``tolerance``; of equals the smaller id. All anchors stay: ``status`` is matched, outside_tolerance (the clock has
-    candidates, none near enough) or no_candidate.
+    ``tolerance``; of equals the smaller id; a candidate may serve several anchors. All anchors stay: ``status`` is matched,
+    outside_tolerance (the clock has candidates, none near enough), clock_id_mismatch (candidates on other clocks only) or
+    no_candidate (none at all).
 
     Anchors go to the bucket of their time and its neighbours, candidates to their own, so that only those near in time
     meet: an equi-join, whatever the clocks' sizes."""
@@ -24,24 +25,45 @@ def nearest_within(anchors: DataFrame, candidates: DataFrame, tolerance: int, *,
         .agg(F.min(F.struct(F.abs("offset").alias("d"), F.col("candidate_id"), F.col("offset"))).alias("m"))
     )
     clocks = candidates.groupBy(clock).agg(F.count("*").alias("_n"))
+    any_ = F.lit(not candidates.isEmpty())
     joined = anchors.join(found, [clock, "anchor_id"], "left").join(clocks, clock, "left")
-    status = F.when(F.col("m").isNotNull(), "matched").when(F.col("_n").isNotNull(), "outside_tolerance").otherwise("no_candidate")
+    status = F.when(F.col("m").isNotNull(), "matched").when(F.col("_n").isNotNull(), "outside_tolerance").when(any_, "clock_id_mismatch").otherwise("no_candidate")
     return joined.select(clock, "anchor_id", F.col("m.candidate_id").alias("candidate_id"), F.col("m.offset").alias("offset"), status.alias("status"))
 
 
-def neighbours_in_time(queries: DataFrame, records: DataFrame, value: str, *, clock: str = "clock") -> DataFrame:
-    """Per query (clock, query_id, t) the last record at or before it (t0, v0) and the first at or after it (t1, v1).
-    One shuffle by clock and one sort; the range frames see records at the query's own time from both sides. Of records
-    at one time the larger value counts."""
-    own = records.groupBy(clock, "t").agg(F.max(value).alias("_v"))
-    both = queries.select(clock, "query_id", "t", F.lit(None).cast("struct<t:bigint,v:double>").alias("_r")).unionByName(
-        own.select(clock, F.lit(None).cast("long").alias("query_id"), "t", F.struct(F.col("t"), F.col("_v").cast("double").alias("v")).alias("_r"))
-    )
-    order = Window.partitionBy(clock).orderBy("t")
-    before = F.last("_r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    placed = both.withColumn("_0", before).withColumn("_1", after).filter(F.col("query_id").isNotNull())
-    return placed.select(clock, "query_id", "t", F.col("_0.t").alias("t0"), F.col("_0.v").alias("v0"), F.col("_1.t").alias("t1"), F.col("_1.v").alias("v1"))
+def unmatched(matched: DataFrame, anchors: DataFrame, candidates: DataFrame, *, clock: str = "clock") -> DataFrame:
+    """(candidate_id, reason) for the candidates that no anchor took: clock_id_mismatch where their clock has no anchor, else
+    no_anchor_within_tolerance."""
+    free = candidates.join(matched.filter("status = 'matched'").select("candidate_id"), "candidate_id", "left_anti")
+    clocks = anchors.select(clock).distinct().withColumn("_has", F.lit(True))
+    reason = F.when(F.col("_has"), "no_anchor_within_tolerance").otherwise("clock_id_mismatch")
+    return free.join(clocks, clock, "left").select("candidate_id", reason.alias("reason"))
+
+
+def neighbours_in_time(queries: DataFrame, records: DataFrame, value: str, *, clock: str = "clock", slots: int = 1024) -> DataFrame:
+    """Per query (clock, query_id, t) the last record at or before it (t0, v0) and the first at or after it (t1, v1). Of
+    records at one time the larger value counts.
+
+    Time is dealt to ``slots`` equal slots; a task sorts a clock's slot, not a clock. What lies before and after a slot
+    is carried over from its clock's other slots, of which each hands on two records."""
+    span = records.select("t").unionByName(queries.select("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    width = max(1, ((span["b"] or 0) - (span["a"] or 0)) // slots + 1)
+    slot = F.floor((F.col("t") - F.lit(span["a"] or 0)) / F.lit(width)).alias("_slot")
+    record = "struct<t:bigint,v:double>"
+    own = records.groupBy(clock, "t").agg(F.max(value).cast("double").alias("_v")).select(clock, slot, "t", F.struct("t", F.col("_v").alias("v")).cast(record).alias("_r"))
+    asked = queries.select(clock, "query_id", slot, "t", F.lit(None).cast(record).alias("_r"))
+    both = asked.unionByName(own.select(clock, F.lit(None).cast("long").alias("query_id"), "_slot", "t", "_r"))
+    ends = both.groupBy(clock, "_slot").agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
+    slots_ = Window.partitionBy(clock).orderBy("_slot")
+    before = F.last("_last", ignorenulls=True).over(slots_.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_first", ignorenulls=True).over(slots_.rowsBetween(1, Window.unboundedFollowing))
+    carried = ends.select(clock, "_slot", before.alias("_before"), after.alias("_after"))
+    order = Window.partitionBy(clock, "_slot").orderBy("t")
+    here0 = F.last("_r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    here1 = F.first("_r", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    placed = both.withColumn("_0", here0).withColumn("_1", here1).filter(F.col("query_id").isNotNull()).join(carried, [clock, "_slot"])
+    r0, r1 = F.coalesce("_0", "_before"), F.coalesce("_1", "_after")
+    return placed.select(clock, "query_id", "t", r0["t"].alias("t0"), r0["v"].alias("v0"), r1["t"].alias("t1"), r1["v"].alias("v1"))
 
 
 def nearest_record(placed: DataFrame, limit: int) -> DataFrame:

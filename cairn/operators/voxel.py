@@ -20,14 +20,14 @@ def intra_scan_voxels(points: DataFrame, cell: float, *, scan: str = "scan", ind
 
 def inter_scan_voxels(points: DataFrame, cell: float, *, scan: str = "scan", observation: str = "observation", at: str = "t", axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """One row per voxel: points, scans, different observations, centroid as the mean offset from the voxel's corner,
-    bounds, first and last time. Summed up by voxel and scan first, so that a full voxel shuffles a row per scan."""
+    bounds, first and last time. Sums are combined where the points are and shuffle a row per voxel and task; scans and
+    observations are counted each from its own distinct pairs with the voxel, so that neither multiplies the other."""
     keys = [f"v{a}" for a in axes]
     placed = points.select("*", *[cell_of(F.col(a), cell).alias(f"v{a}") for a in axes])
     offset = {a: F.col(a) - F.col(f"v{a}") * F.lit(cell) for a in axes}
-    sums = [f(c).alias(n) for a in axes for f, c, n in ((F.sum, offset[a], f"s{a}"), (F.min, F.col(a), f"min_{a}"), (F.max, F.col(a), f"max_{a}"))]
-    partial = placed.groupBy(*keys, scan, observation).agg(F.count("*").alias("n"), F.min(at).alias("t0"), F.max(at).alias("t1"), *sums)
-    centroid = [(F.sum(f"s{a}") / F.sum("n") + F.col(f"v{a}") * F.lit(cell)).alias(f"c{a}") for a in axes]
-    box = [f(f"{m}_{a}").alias(f"{m}_{a}") for a in axes for f, m in ((F.min, "min"), (F.max, "max"))]
-    return partial.groupBy(*keys).agg(
-        F.sum("n").alias("point_count"), F.countDistinct(scan).alias("scan_count"), F.countDistinct(observation).alias("observation_count"), *centroid, *box, F.min("t0").alias("first_t"), F.max("t1").alias("last_t")
-    )
+    box = [f(F.col(a)).alias(f"{m}_{a}") for a in axes for f, m in ((F.min, "min"), (F.max, "max"))]
+    sums = placed.groupBy(*keys).agg(F.count("*").alias("point_count"), *[F.avg(offset[a]).alias(f"o{a}") for a in axes], *box, F.min(at).alias("first_t"), F.max(at).alias("last_t"))
+    of = lambda c, n: placed.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(n))
+    joined = sums.join(of(scan, "scan_count"), keys).join(of(observation, "observation_count"), keys)
+    centroid = [(F.col(f"o{a}") + F.col(f"v{a}") * F.lit(cell)).alias(f"c{a}") for a in axes]
+    return joined.select(*keys, "point_count", "scan_count", "observation_count", *centroid, *[f"{m}_{a}" for a in axes for m in ("min", "max")], "first_t", "last_t")

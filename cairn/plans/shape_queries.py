@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.scalars import at_least
 from cairn.operators.graphs import components
 from cairn.operators.moments import shape_descriptors
 from cairn.operators.spatial_joins import box_pairs, within_radius
@@ -142,29 +141,6 @@ def i2_geometry_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", F.round(iou, 6).alias("iou"), F.round(inner, 6).alias("contained"), status.alias("status"))
 
 
-@query(
-    "i12_geometric_predicates",
-    f"""WITH {_SQL_PAIRS}, t AS (SELECT a, b, least(ox, oy) AS v, ox, oy FROM m) SELECT a, b, CASE WHEN v - 0.5 >= 2 THEN 'meets' WHEN v + 0.5 < 2 THEN 'fails' ELSE 'within_tolerance' END AS intersects,
-  CASE WHEN -v - 0.25 >= 0 THEN 'meets' WHEN -v + 0.25 < 0 THEN 'fails' ELSE 'within_tolerance' END AS next_to FROM t""",
-)
-def i12_geometric_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    least = F.least("ox", "oy")
-    return _overlapping(spark, sf_dir).select("a", "b", at_least(least, 2.0, 0.5).alias("intersects"), at_least(-least, 0.0, 0.25).alias("next_to"))
-
-
-@query(
-    "c16_candidate_rules",
-    f"""WITH {_SQL_PAIRS}, k(predicate) AS (VALUES ('above'), ('inside'), ('next_to')) SELECT a, b, predicate, CASE WHEN least(va, vb) = 0 THEN 'flat' WHEN predicate = 'inside' AND va >= vb THEN 'not_smaller' WHEN predicate = 'above' AND clear_x < -2 THEN 'not_clear'
-  WHEN predicate = 'next_to' AND common > 0 THEN 'overlapping' END AS excluded FROM m, k""",
-)
-def c16_candidate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each close pair under each predicate; the first reason against it, null for a candidate."""
-    rows = _overlapping(spark, sf_dir).withColumn("predicate", F.explode(F.array(F.lit("above"), F.lit("inside"), F.lit("next_to"))))
-    is_ = lambda p, rule: (F.col("predicate") == p) & F.expr(rule)
-    reason = F.when(F.expr("least(va, vb) = 0"), "flat").when(is_("inside", "va >= vb"), "not_smaller").when(is_("above", "clear_x < -2"), "not_clear").when(is_("next_to", "common > 0"), "overlapping")
-    return rows.select("a", "b", "predicate", reason.alias("excluded"))
-
-
 @query(
     "d18_shape_descriptors",
     f"""WITH {SQL_POINTS}, c AS (SELECT scan, count(*)::BIGINT AS n, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM points GROUP BY 1),

@@ -14,7 +14,7 @@ def test_tolerance_join_ties_and_reasons(spark):
     anchors = spark.createDataFrame([("c", 1, 100), ("c", 2, 500), ("d", 3, 100)], "clock string, anchor_id long, t long")
     found = spark.createDataFrame([("c", 20, 95), ("c", 10, 105)], "clock string, candidate_id long, t long")
     out = {r["anchor_id"]: (r["candidate_id"], r["offset"], r["status"]) for r in nearest_within(anchors, found, 5).collect()}
-    assert out == {1: (10, 5, "matched"), 2: (None, None, "outside_tolerance"), 3: (None, None, "no_candidate")}
+    assert out == {1: (10, 5, "matched"), 2: (None, None, "outside_tolerance"), 3: (None, None, "clock_id_mismatch")}
 
 
 def test_asof_prefers_the_earlier_and_refuses_gaps(spark):

@@ -9,7 +9,7 @@ import pytest
 from cairn.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels pages benchmark conversations".split()
 
 
 @pytest.fixture(scope="module")
