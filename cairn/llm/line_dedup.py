@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANKS, ascii_lower, cut, join_sized, load, version
+from cairn.llm.common import BLANKS, ascii_lower, cut, load, version
 
 
 def lines_of(text: Column) -> Column:
@@ -63,12 +63,10 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``_cairn_n_lines``, ``_cairn_n_dropped`` and ``_cairn_kept``, the lines that stay joined by line feeds. The kept text
-    of a document without a bitmap is its text, or empty for null. Few bitmaps go to where the texts are, many are joined by a
-    shuffle. ``docs`` must not have columns of these three names."""
+    of a document without a bitmap is its text, or empty for null. ``docs`` must not have columns of these three names."""
     names = docs.columns
-    theirs = cut(bitmaps.select(*[F.col(c).alias(f"_cairn{c}") for c in ("_id", "_v", "_bitmap")]))
-    size = theirs.agg(F.sum(F.size("_cairn_bitmap") * 16 + 64)).first()[0] or 0
-    joined = join_sized(docs, theirs, docs[doc_id].eqNullSafe(theirs["_cairn_id"]) & (version(docs[text]) == theirs["_cairn_v"]), "left", size)
+    theirs = bitmaps.select(*[F.col(c).alias(f"_cairn{c}") for c in ("_id", "_v", "_bitmap")])
+    joined = docs.join(theirs, docs[doc_id].eqNullSafe(theirs["_cairn_id"]) & (version(docs[text]) == theirs["_cairn_v"]), "left")
     gone = "flatten(transform(_cairn_bitmap, b -> transform(filter(sequence(0, 63), k -> (shiftrightunsigned(b.keep, k) & 1L) = 0L), k -> b.word * 64 + k)))"
     return (
         joined.withColumn("_cairn_lines", lines_of(F.col(text)))
