@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, join_heavy, join_sized, load, version
+from cairn.llm.common import cut, join_heavy, load, version
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Bits by which a trie's nodes go down at once, and the fingerprints of a pair of nodes that one task traverses, at most.
-STEP, MOST = 4, 1 << 18
+#: Bits by which a trie's nodes go down at once, and bounds of the fingerprints below a pair of nodes that is not split.
+STEP, LEAST, MOST = 4, 1 << 12, 1 << 18
 #: Node pairs that a traversal holds at once.
 FRONTIER = 1 << 20
 #: Rows that a task takes together, if it has as many.
@@ -173,12 +173,12 @@ def near_edges(classes: DataFrame, fp: str = "_fp", radius: int = RADIUS, most:
     self-join of a binary trie. The top is traversed by joins of nodes (``node_pairs``) until what is below a pair is
     work for one task, the rest of the way there, for all pairs of nodes that the task has at once.
 
-    A pair of nodes has at most ``most`` fingerprints, as few as give each task several; its task returns a spanning
+    A pair of nodes has at most ``most`` fingerprints, a task's share of them within fixed bounds; its task returns a spanning
     forest of their links, at most a row per member, never their pairs."""
     classes = classes.select(F.col(fp).alias("_fp"))
     if most is None:
         tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        most = min(MOST, max(256, classes.count() // (8 * tasks)))
+        most = min(MOST, max(LEAST, classes.count() // tasks))
     pairs = cut(node_pairs(classes, most, radius))
     depths = [r["depth"] for r in pairs.select("depth").distinct().collect()]  # 15 at most
     if not depths:
@@ -275,14 +275,14 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     stays = (F.col("_id") == F.col("_component")) & (F.col("_v") == F.col("_first"))
     gone = cut(found.filter(~stays).select("_id", "_v").distinct())
     is_in = lambda rows: docs["doc_id"].eqNullSafe(rows["_id"]) & (version(docs["text"]) == rows["_v"])
-    out = join_sized(docs, gone, is_in(gone), "left_anti", 32 * gone.count())
+    out = docs.join(gone, is_in(gone), "left_anti")
     repeated = cut(found.filter(stays).groupBy("_id", "_v").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", "_v"))
     if repeated.isEmpty():
         return out
-    size, names = 32 * repeated.count(), [f"`{c}`" for c in docs.columns]
-    again = join_sized(docs, repeated, is_in(repeated), "left_semi", size)
+    names = [f"`{c}`" for c in docs.columns]
+    again = docs.join(repeated, is_in(repeated), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", version(F.col("text"))).orderBy(F.xxhash64(*names)))
-    return join_sized(out, repeated, is_in(repeated), "left_anti", size).unionByName(again.withColumn("_cairn_nth", nth).filter("_cairn_nth = 1").drop("_cairn_nth"))
+    return out.join(repeated, is_in(repeated), "left_anti").unionByName(again.withColumn("_cairn_nth", nth).filter("_cairn_nth = 1").drop("_cairn_nth"))
 
 
 def op5_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
