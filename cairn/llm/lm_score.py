@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,17 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens_of(text: bytes | None) -> list[bytes]:
+    words = (text or b"").lower().split()
     words.append(END)
     return words
 
 
+def as_bytes(texts: pa.Array) -> list[bytes | None]:
+    """The texts as UTF-8, which is how they come."""
+    return texts.cast(pa.binary()).to_pylist()
+
+
 def count_words(texts: DataFrame, limit: int = 200_000) -> DataFrame:
     """(word binary, n) over all tokens of the column ``_text``; a task holds at most ``limit`` different words and those
     of one batch, and hands on what it has then."""
@@ -50,8 +56,8 @@ def count_words(texts: DataFrame, limit: int = 200_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
+            for text in as_bytes(batch.column(0)):
+                counts.update(tokens_of(text))
                 if len(counts) > limit:
                     yield _count_batch(counts)
                     counts.clear()
@@ -69,8 +75,8 @@ def token_chunks(texts: pa.Array, size: int = 200_000) -> Iterator[list[bytes]]:
     """The tokens of whole texts one after another, about ``size`` a time. Each text ends with the end, so that before
     every first word, but that of a chunk, stands the end."""
     held: list[bytes] = []
-    for text in texts:
-        held += tokens_of(text.as_py())
+    for text in as_bytes(texts):
+        held += tokens_of(text)
         if len(held) >= size:
             yield held
             held = []
@@ -92,9 +98,7 @@ class Vocabulary:
         return len(self.words)
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        out = list(map(self.at.get, words))
-        tail = len(self.words)
-        return np.array([tail if x is None else x for x in out], np.int64)
+        return np.fromiter(map(self.at.get, words, repeat(len(self.words))), np.int64, len(words))
 
 
 def states_of(cls: np.ndarray, n_words: int, k: int) -> np.ndarray:
@@ -236,7 +240,7 @@ def classify_head(texts: DataFrame, words: Vocabulary, own: np.ndarray, between:
             return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
         def rows(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((codes // (2 * states)).astype(np.int32)), pa.array((codes % (2 * states)).astype(np.int32)), pa.array(n)], ["at", "side", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
         for batch in batches:
             for tokens in token_chunks(batch.column(0)):
@@ -264,7 +268,8 @@ def classify_head(texts: DataFrame, words: Vocabulary, own: np.ndarray, between:
     cls = np.full(len(words) - 1, 0)
     cls[: words.own] = own
     if words.own < len(cls):
-        counted = texts.select("_text").mapInArrow(count, "at int, side int, n long").groupBy("at", "side").agg(F.sum("n").alias("n"))
+        counted = texts.select("_text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        counted = counted.select(F.expr(f"code div {2 * states}").cast("int").alias("at"), (F.col("code") % (2 * states)).cast("int").alias("side"), "n")
         found = counted.groupBy("at").agg(F.collect_list(F.struct("side", "n")).alias("e")).mapInArrow(assign, "at int, cls int").toArrow()
         cls[found["at"].to_numpy()] = found["cls"].to_numpy()
     return cls
@@ -423,26 +428,38 @@ def _score_parts(model: ClassModel) -> Callable[[Iterator[pa.RecordBatch]], Iter
         cls = states[:-1]
         per = np.log10(np.maximum(counts - model.discount, 1e-9)) - np.log10(np.maximum(model.class_tokens[cls], 1))
         emit, base = np.where(counts > 0, per, np.log10(model.unseen()[cls])), np.log10(counts + 1)
-        for batch in batches:
-            cols: tuple[list, ...] = tuple([] for _ in range(9))
-            for id_, v, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = tokens_of(text.as_py())
-                at = words.places(tokens)
-                own = states[at]
-                before = _before(own, end)
-                rest = np.flatnonzero(at == n_head).tolist()
-                if rest:
-                    other = Counter(zip([tokens[i] for i in rest], before[rest].tolist(), strict=True))
-                    m = len(other)
-                    for column, x in zip(cols, ([id_] * m, [v] * m, [w for w, _ in other], other.values(), [s for _, s in other], *[[0] * m] * 4), strict=True):
-                        column.extend(x)
-                near = at < n_head
-                score = model.follow[before[near], own[near]].sum() + emit[at[near]].sum()
-                mark = END + np.int64(v).tobytes() + np.int64(id_ or 0).tobytes()
-                for column, x in zip(cols, (id_, v, mark, 0, -1, len(tokens), int((counts[at[near]] > 0).sum()), float(base[at[near]].sum()), float(score)), strict=True):
-                    column.append(x)
-            kinds_ = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], _NAMES)
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            texts = [tokens_of(t) for t in as_bytes(batch.column(2))]
+            n_tokens = np.array([len(t) for t in texts], np.int64)
+            first = np.cumsum(n_tokens) - n_tokens
+            tokens = list(chain.from_iterable(texts))
+            at = words.places(tokens)
+            own = states[at]
+            before = _before(own, end)
+            near = at < n_head
+            score, known, base_ = np.zeros(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at))
+            score[near] = model.follow[before[near], own[near]] + emit[at[near]]
+            known[near], base_[near] = counts[at[near]] > 0, base[at[near]]
+            rest = np.flatnonzero(~near)
+            text_of = np.repeat(np.arange(len(texts)), n_tokens)
+            other = Counter(zip(text_of[rest].tolist(), [tokens[i] for i in rest.tolist()], before[rest].tolist(), strict=True))
+            ids, versions = batch.column(0), batch.column(1)
+            marks = [END + np.int64(v).tobytes() + np.int64(i or 0).tobytes() for i, v in zip(ids.to_pylist(), versions.to_pylist(), strict=True)]
+            m, k = len(other), len(texts)
+            owner = pa.array([t for t, _, _ in other], pa.int64())
+            none = np.zeros(m)
+            cols = [
+                pa.concat_arrays([ids, ids.take(owner)]),
+                pa.concat_arrays([versions, versions.take(owner)]),
+                pa.array([*marks, *(w for _, w, _ in other)], pa.binary()),
+                pa.array(np.concatenate((np.zeros(k, np.int64), np.fromiter(other.values(), np.int64, m)))),
+                pa.array(np.concatenate((np.full(k, -1, np.int32), np.fromiter((s for _, _, s in other), np.int32, m)))),
+                pa.array(np.concatenate((n_tokens, none.astype(np.int64)))),
+                pa.array(np.concatenate((np.add.reduceat(known, first), none.astype(np.int64)))),
+                pa.array(np.concatenate((np.add.reduceat(base_, first), none))),
+                pa.array(np.concatenate((np.add.reduceat(score, first), none))),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, _NAMES)
 
     return run
 
