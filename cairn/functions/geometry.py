@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -198,17 +199,28 @@ def unproject(camera: Camera, u: Column, v: Column, rounds: int = 20) -> Vector:
     return x / n, y / n, 1 / n
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: it is bound to a lambda's variable."""
+    return F.transform(F.array(value), use)[0]
+
+
 def eigenvector(m: dict[str, Column], value: Column) -> Vector:
     """The unit eigenvector of a symmetric 3x3 matrix (``xx`` ... ``yz``) for a simple eigenvalue: the longest cross product of two rows
-    of the matrix less the eigenvalue, its largest component positive."""
-    rows = [(m["xx"] - value, m["xy"], m["xz"]), (m["xy"], m["yy"] - value, m["yz"]), (m["xz"], m["yz"], m["zz"] - value)]
-    found = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
-    sizes = [inner(c, c) for c in found]
-    longest = F.greatest(*sizes)
-    pick = [F.when(sizes[0] == longest, found[0][k]).when(sizes[1] == longest, found[1][k]).otherwise(found[2][k]) for k in range(3)]
-    n = F.sqrt(longest)
-    unit = [F.when(n > 0, p / n) for p in pick]
-    return canonical((unit[0], unit[1], unit[2]))
+    of the matrix less the eigenvalue, of equals the first, its largest component positive; null where there is none."""
+
+    def products(l: Column) -> Column:  # noqa: E741
+        rows = [(m["xx"] - l, m["xy"], m["xz"]), (m["xy"], m["yy"] - l, m["yz"]), (m["xz"], m["yz"], m["zz"] - l)]
+        each = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+        return F.array(*[F.struct(*[c.alias(a) for c, a in zip(v, AXES, strict=True)]) for v in each])
+
+    of = lambda s: (s["x"], s["y"], s["z"])
+    pack = lambda v, **more: F.struct(*[c.alias(a) for c, a in zip(v, AXES, strict=True)], *[c.alias(n) for n, c in more.items()])
+    sized = F.transform(let(value, products), lambda c: pack(of(c), s=inner(of(c), of(c))))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in (*AXES, "s")])
+    longest = F.aggregate(sized, zero, lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
+    found = let(longest, lambda v: F.when(v["s"] > 0, pack(tuple(x / F.sqrt(v["s"]) for x in of(v)))))
+    found = let(found, lambda v: pack(canonical(of(v))))
+    return found["x"], found["y"], found["z"]
 
 
 def canonical(v: Vector) -> Vector:

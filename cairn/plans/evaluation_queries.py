@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.evidence import hypotheses, uncertainty
 from cairn.operators.time_joins import nearest_record
-from cairn.plans.evidence_queries import _SQL_CLAIMS, _SQL_RELATIONS, _claims, _relations
+from cairn.plans.evidence_queries import _INVERSE, _SQL_CLAIMS, _SQL_FOLLOW, _SQL_RELATIONS, _claims, _relations, _stated
 from cairn.plans.registry import query
 from cairn.plans.tables import SQL_EVENTS, events, load
 from cairn.plans.time_queries import _PLACED, HOUR, _placed
@@ -125,17 +125,14 @@ def g1_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("l_partkey", F.when(F.col("r") & F.col("n"), "both").when(F.col("r"), "first").otherwise("second").alias("held"))
 
 
-_SQL_STATED = "t AS (SELECT o_orderkey % 60 AS subject, o_custkey % 60 AS object, CASE WHEN o_orderkey % 20 = 0 THEN 'supported' ELSE 'unresolved' END AS state FROM orders), e AS (FROM t UNION ALL SELECT object, subject, state FROM t)"
-
-
-@query("g11_reference_triples", f"WITH {_SQL_STATED} SELECT subject, object, CASE WHEN count(DISTINCT state) = 1 THEN min(state) END AS state, count(DISTINCT state) > 1 AS conflicting FROM e GROUP BY ALL")
+@query("g11_reference_triples", f"WITH {_SQL_FOLLOW}, e AS (SELECT subject, predicate, object, state FROM fo UNION ALL SELECT object, CASE predicate WHEN 'above' THEN 'below' WHEN 'inside' THEN 'contains' ELSE 'next_to' END, subject, state FROM fo) SELECT subject, predicate, object, CASE WHEN count(DISTINCT state) = 1 THEN min(state) END AS state, count(DISTINCT state) > 1 AS conflicting FROM e GROUP BY ALL")
 def g11_reference_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements both ways; those with more than one status have none and are marked."""
-    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    state = F.when(F.col("o_orderkey") % 20 == 0, "supported").otherwise("unresolved")
-    ends = F.explode(F.array(*[F.struct((F.col(a) % 60).alias("subject"), (F.col(b) % 60).alias("object")) for a, b in (("o_orderkey", "o_custkey"), ("o_custkey", "o_orderkey"))]))
+    """Statements with their inverses; those with more than one status have none and are marked."""
+    stated = _stated(spark, sf_dir)
+    inverse = F.create_map(*[F.lit(x) for kv in _INVERSE.items() for x in kv])
+    both = F.array(F.struct("subject", "predicate", "object"), F.struct(F.col("object").alias("subject"), inverse[F.col("predicate")].alias("predicate"), F.col("subject").alias("object")))
     one = F.min("state") == F.max("state")
-    return o.select(ends.alias("e"), state.alias("state")).groupBy("e.subject", "e.object").agg(F.when(one, F.min("state")).alias("state"), (~one).alias("conflicting"))
+    return stated.select("state", F.inline(both)).groupBy("subject", "predicate", "object").agg(F.when(one, F.min("state")).alias("state"), (~one).alias("conflicting"))
 
 
 @query(

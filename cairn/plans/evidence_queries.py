@@ -107,13 +107,20 @@ def i8_staged_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statuses.withColumn("decision", decision).withColumn("reason", reason)
 
 
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that follow each other in an order are related, by the first one's return flag; those of large quantities are supported."""
+    items = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    flag = F.col("l_returnflag")
+    first = items.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("subject"), F.when(flag == "A", "above").when(flag == "N", "inside").otherwise("next_to").alias("predicate"), F.when(F.col("l_quantity") >= 25, "supported").otherwise("unresolved").alias("state"))
+    return first.join(items.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("object")), ["l_orderkey", "l_linenumber"])
+
+
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    predicate = F.element_at(F.array(F.lit("above"), F.lit("inside"), F.lit("next_to")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return o.select((F.col("o_orderkey") % 60).alias("subject"), predicate.alias("predicate"), (F.col("o_custkey") % 60).alias("object"), F.when(F.col("o_orderkey") % 20 == 0, "supported").otherwise("unresolved").alias("state")).groupBy("subject", "predicate", "object").agg(F.min("state").alias("state"))
+    return _stated(spark, sf_dir).groupBy("subject", "predicate", "object").agg(F.min("state").alias("state"))
 
 
-_SQL_RELATIONS = "r AS (SELECT o_orderkey % 60 AS subject, ['above', 'inside', 'next_to'][o_orderkey % 3 + 1] AS predicate, o_custkey % 60 AS object, min(CASE WHEN o_orderkey % 20 = 0 THEN 'supported' ELSE 'unresolved' END) AS state FROM orders GROUP BY ALL)"
+_SQL_FOLLOW = "fo AS (SELECT a.l_partkey AS subject, CASE a.l_returnflag WHEN 'A' THEN 'above' WHEN 'N' THEN 'inside' ELSE 'next_to' END AS predicate, b.l_partkey AS object, CASE WHEN a.l_quantity >= 25 THEN 'supported' ELSE 'unresolved' END AS state FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+_SQL_RELATIONS = f"{_SQL_FOLLOW}, r AS (SELECT subject, predicate, object, min(state) AS state FROM fo GROUP BY ALL)"
 _INVERSE = {"above": "below", "inside": "contains", "next_to": "next_to"}
 
 
@@ -214,12 +221,6 @@ def j18_arm_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("stratum", F.round("d", 4).alias("change"), effect.alias("effect"))
 
 
-@query("j17_ablation_cells", "WITH f(name) AS (VALUES ('geometry'), ('semantics'), ('time')) SELECT a.name AS off, b.name AS channel, a.name <> b.name AS used FROM f a, f b")
-def j17_ablation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*map(F.lit, ("geometry", "semantics", "time")))
-    return spark.range(1).select(F.explode(names).alias("off")).select("off", F.explode(names).alias("channel")).withColumn("used", F.col("off") != F.col("channel"))
-
-
 @query("h8_set_digest", "SELECT l_suppkey AS entity, sha256(array_to_string(list_sort(list_distinct(list(l_partkey))), chr(10))) AS digest FROM lineitem GROUP BY 1")
 def h8_set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a set in whatever order it comes."""
@@ -240,10 +241,3 @@ def b7_admission_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     reason = F.when(price.isNull(), "missing").when(price < 5000, "too_small").when(~F.col("o_orderstatus").isin("F", "O"), "bad_state").when(F.col("o_custkey") % 11 == 0, "excluded")
     return load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey").select("o_orderkey", reason.alias("reject_reason"))
-
-
-@query("j21_reproducibility", "SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second")
-def j21_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hypotheses twice, and the rows that only one of the two has."""
-    once, again = d5_hypotheses(spark, sf_dir), d5_hypotheses(spark, sf_dir)
-    return once.exceptAll(again).agg(F.count("*").alias("only_first")).join(again.exceptAll(once).agg(F.count("*").alias("only_second")), how="cross")

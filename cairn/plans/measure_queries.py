@@ -77,15 +77,15 @@ def j4_cloud_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j5_mask_agreement",
-    f"""WITH {SQL_POINTS}, a AS (SELECT DISTINCT scan % 50 AS frame, floor(x + 0.5)::BIGINT AS row, floor(y + 0.5)::BIGINT AS col FROM points), b AS (SELECT DISTINCT p_partkey % 50 AS frame, p_size::BIGINT AS row, floor(p_retailprice)::BIGINT % 11 AS col FROM part),
+    f"""WITH {SQL_POINTS}, a AS (SELECT DISTINCT scan AS frame, floor(x + 0.5)::BIGINT AS row, floor(y + 0.5)::BIGINT AS col FROM points), b AS (SELECT DISTINCT p_partkey // 20 AS frame, p_size::BIGINT AS row, floor(p_retailprice)::BIGINT % 11 AS col FROM part),
 u AS (SELECT frame, row, col, a.frame IS NOT NULL AS ia, b.frame IS NOT NULL AS ib FROM a FULL JOIN b USING (frame, row, col))
 SELECT frame, count(*) FILTER (ia AND ib)::BIGINT AS common, round(count(*) FILTER (ia AND ib) / count(*), 6) AS iou, round(2 * count(*) FILTER (ia AND ib) / (count(*) FILTER (ia) + count(*) FILTER (ib)), 6) AS dice FROM u GROUP BY 1""",
 )
 def j5_mask_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both masks' pixels in one aggregation by pixel, then one by frame."""
     pixel = lambda c: F.floor(F.col(c) + 0.5).cast("long")
-    a = points(spark, sf_dir).select((F.col("scan") % 50).alias("frame"), pixel("x").alias("row"), pixel("y").alias("col"), F.lit(True).alias("first"))
-    b = load(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select((F.col("p_partkey") % 50).alias("frame"), F.col("p_size").cast("long").alias("row"), (F.floor("p_retailprice") % 11).alias("col"), F.lit(False).alias("first"))
+    a = points(spark, sf_dir).select(F.col("scan").alias("frame"), pixel("x").alias("row"), pixel("y").alias("col"), F.lit(True).alias("first"))
+    b = load(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select(F.expr("p_partkey div 20").alias("frame"), F.col("p_size").cast("long").alias("row"), (F.floor("p_retailprice") % 11).alias("col"), F.lit(False).alias("first"))
     u = a.unionByName(b).groupBy("frame", "row", "col").agg(F.bool_or("first").alias("ia"), F.bool_or(~F.col("first")).alias("ib"))
     both = F.count_if(F.col("ia") & F.col("ib"))
     return u.groupBy("frame").agg(both.alias("common"), F.round(both / F.count("*"), 6).alias("iou"), F.round(2 * both / (F.count_if("ia") + F.count_if("ib")), 6).alias("dice"))

@@ -56,16 +56,16 @@ def c8_projection_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("point", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"), F.when(~F.col("ahead"), "behind").when(inside, "inside").otherwise("outside").alias("stage"))
 
 
-_SQL_MASKED = f"""{SQL_POINTS}, px AS (SELECT point, z, scan % 50 AS frame, floor(x + 0.5)::BIGINT AS row, floor(y + 0.5)::BIGINT AS col FROM points),
-mk AS (SELECT DISTINCT p_partkey % 50 AS frame, p_size::BIGINT AS row, floor(p_retailprice)::BIGINT % 11 AS col, p_brand AS region FROM part), hit AS (SELECT point, z, frame, row, col, region FROM px JOIN mk USING (frame, row, col))"""
+_SQL_MASKED = f"""{SQL_POINTS}, px AS (SELECT point, z, scan AS frame, floor(x + 0.5)::BIGINT AS row, floor(y + 0.5)::BIGINT AS col FROM points),
+mk AS (SELECT DISTINCT p_partkey // 20 AS frame, p_size::BIGINT AS row, floor(p_retailprice)::BIGINT % 11 AS col, p_brand AS region FROM part), hit AS (SELECT point, z, frame, row, col, region FROM px JOIN mk USING (frame, row, col))"""
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points at the pixels of regions' masks: an equi-join on (frame, row, column) at the nearest pixel."""
     pixel = lambda a: F.floor(F.col(a) + 0.5).cast("long")
-    rows = points(spark, sf_dir).select("point", "z", (F.col("scan") % 50).alias("frame"), pixel("x").alias("row"), pixel("y").alias("col"))
+    rows = points(spark, sf_dir).select("point", "z", F.col("scan").alias("frame"), pixel("x").alias("row"), pixel("y").alias("col"))
     parts = load(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice", "p_brand")
-    masks = parts.select((F.col("p_partkey") % 50).alias("frame"), F.col("p_size").cast("long").alias("row"), (F.floor("p_retailprice") % 11).alias("col"), F.col("p_brand").alias("region")).distinct()
+    masks = parts.select(F.expr("p_partkey div 20").alias("frame"), F.col("p_size").cast("long").alias("row"), (F.floor("p_retailprice") % 11).alias("col"), F.col("p_brand").alias("region")).distinct()
     return rows.join(masks, ["frame", "row", "col"])
 
 

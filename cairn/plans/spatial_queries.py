@@ -83,10 +83,10 @@ def c24_point_to_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir)
-    return rows.select("point", (F.col("scan") % 50).alias("frame"), cell_of(F.col("x"), 1.0).alias("row"), cell_of(F.col("y"), 1.0).alias("col"), (F.col("z") + F.col("x") / 100).alias("depth"))
+    return rows.select("point", F.col("scan").alias("frame"), cell_of(F.col("x"), 1.0).alias("row"), cell_of(F.col("y"), 1.0).alias("col"), (F.col("z") + F.col("x") / 100).alias("depth"))
 
 
-_SQL_DEPTHS = f"{SQL_POINTS}, d AS (SELECT point, scan % 50 AS frame, floor(x)::BIGINT AS row, floor(y)::BIGINT AS col, z + x / 100 AS depth FROM points), c AS (SELECT frame, row, col, min(depth) AS depth FROM d GROUP BY ALL), m AS (SELECT c.frame, c.row, c.col, min(o.depth) AS window_min FROM c JOIN c o ON c.frame = o.frame AND abs(c.row - o.row) <= 1 AND abs(c.col - o.col) <= 1 GROUP BY ALL)"
+_SQL_DEPTHS = f"{SQL_POINTS}, d AS (SELECT point, scan AS frame, floor(x)::BIGINT AS row, floor(y)::BIGINT AS col, z + x / 100 AS depth FROM points), c AS (SELECT frame, row, col, min(depth) AS depth FROM d GROUP BY ALL), m AS (SELECT c.frame, c.row, c.col, min(o.depth) AS window_min FROM c JOIN c o ON c.frame = o.frame AND abs(c.row - o.row) <= 1 AND abs(c.col - o.col) <= 1 GROUP BY ALL)"
 
 
 @query("e4_window_minimum", f"WITH {_SQL_DEPTHS} SELECT frame, row, col, window_min FROM m")
