@@ -16,9 +16,14 @@ def ramp(value: Column, bad: float, good: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - bad) / (good - bad)))
 
 
+def folded_case(text: Column) -> Column:
+    """Case-folded: lower case, of the letters that case folding changes beyond it the sharp s and the final sigma."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def label_key(label: Column) -> Column:
-    """Lower-cased, runs of other than letters and digits one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", " "))
+    """Case-folded, runs of other than letters and digits one space, none at the ends."""
+    return F.trim(F.regexp_replace(folded_case(label), r"[^\p{L}\p{N}]+", " "))
 
 
 def dot(a: Column, b: Column) -> Column:

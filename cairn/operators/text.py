@@ -43,3 +43,99 @@ def redact(text: Column) -> Column:
     for pattern in SECRETS:
         text = F.regexp_replace(text, pattern, "[redacted]")
     return text
+
+
+#: Keys whose values are secrets, at whatever depth of a JSON text.
+SECRET_KEYS = ("secret", "token", "password", "api_key")
+
+
+def redact_json(text: Column) -> Column:
+    """A JSON text with the values of secret keys replaced, whatever objects they are in, and secrets in other texts too."""
+    keys = "|".join(SECRET_KEYS)
+    value = r'("(?:[^"\\]|\\.)*"|[^,\[{}\]\s]+)'
+    return redact(F.regexp_replace(text, rf'(?i)("[^"]*(?:{keys})[^"]*"\s*:\s*){value}', '$1"[redacted]"'))
+
+
+def render(template: str, **values: Column) -> Column:
+    """A text with ``{name}`` replaced by the columns' values, null by nothing; doubled braces are braces. A name without a value, or a value
+    without a place, is an error."""
+    import string
+
+    parts, used = [], set()
+    for text, name, _, _ in string.Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name is not None:
+            if name not in values:
+                raise ValueError(f"the template asks for {name!r}")
+            used.add(name)
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    if unused := sorted(set(values) - used):
+        raise ValueError(f"the template has no place for {unused}")
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def rendered(template: str, **values: Column) -> Column:
+    """struct<prompt, fingerprint>: the fingerprint is of template and values, parted so that no two give the same."""
+    text = F.concat_ws("\u0001", F.lit(template), *[F.concat(F.lit(n), F.lit("\u0002"), F.coalesce(v.cast("string"), F.lit("\u0003"))) for n, v in sorted(values.items())])
+    return F.struct(render(template, **values).alias("prompt"), F.sha2(text, 256).alias("fingerprint"))
+
+
+CLAIM = "struct<label:string,role:string,confidence:double>"
+
+
+def parse_response(text: Column, *, region: bool = True, scored: bool = True) -> Column:
+    """struct<abstained, claims, problem> of a model's answer: JSON with the keys claims (label, role, confidence) and, if it likes, abstained; one
+    code fence about it goes. ``problem`` is the first of: empty, not_json, wrong_keys (others than these, or no claims), wrong_claim
+    (without a label, or of a role other than primary and alternative), abstained_with_claims, no_claim, not_one_primary (of a
+    region), confidence (outside 0 to 1, or there although nothing is ``scored``); null where all is well. Then claims is null."""
+    bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?[ \t]*\r?\n(.*?)\r?\n```$", "$1"))
+    out = F.transform(F.array(F.struct(bare.alias("j"))), lambda a: F.struct(a["j"].alias("j"), F.from_json(a["j"], f"abstained boolean, claims array<{CLAIM}>").alias("o"), F.json_object_keys(a["j"]).alias("k"), F.try_parse_json(a["j"]).isNotNull().alias("ok")))
+
+    def judge(a: Column) -> Column:
+        claims, said = a["o"]["claims"], F.coalesce(a["o"]["abstained"], F.lit(False))
+        wrong = F.exists(claims, lambda c: (F.coalesce(F.trim(c["label"]), F.lit("")) == "") | ~F.coalesce(c["role"].isin("primary", "alternative"), F.lit(False)))
+        sure = F.exists(claims, lambda c: c["confidence"].isNotNull() & (F.lit(not scored) | F.isnan(c["confidence"]) | ~c["confidence"].between(0, 1)))
+        primary = F.size(F.filter(claims, lambda c: c["role"] == "primary"))
+        others = F.array_except(a["k"], F.array(F.lit("claims"), F.lit("abstained")))
+        problem = (
+            F.when(F.coalesce(a["j"], F.lit("")) == "", "empty")
+            .when(~a["ok"] | a["k"].isNull(), "not_json")
+            .when((F.size(others) > 0) | claims.isNull(), "wrong_keys")
+            .when(wrong, "wrong_claim")
+            .when(said & (F.size(claims) > 0), "abstained_with_claims")
+            .when(~said & (F.size(claims) == 0), "no_claim")
+            .when(F.lit(region) & ~said & (primary != 1), "not_one_primary")
+            .when(sure, "confidence")
+        )
+        return F.struct(F.when(problem.isNull(), said).alias("abstained"), F.when(problem.isNull(), claims).alias("claims"), problem.alias("problem"))
+
+    return F.transform(out, judge)[0]
+
+
+def region_reasons(area: Column, valid: Column, excluded: Column, least: int, most: int, min_valid: float, max_excluded: float) -> Column:
+    """Why a region is not taken, the first of too_small, too_large, outside_valid_region and in_exclusion; null where it is. ``valid`` and
+    ``excluded`` are pixels of its area."""
+    return F.when(area < least, "too_small").when(area > most, "too_large").when(valid / area < min_valid, "outside_valid_region").when(excluded / area > max_excluded, "in_exclusion")
+
+
+def tiles(width: Column, height: Column, size: int, overlap: int) -> Column:
+    """array<struct<tile, x, y, width, height>>: the whole image first, as tile 0, then, where it is larger than one, tiles of ``size`` that overlap,
+    by rows, the last of a row or column flush with the edge."""
+    step = size - overlap
+
+    def starts(length: Column) -> Column:
+        last = F.when(length <= size, F.lit(0)).otherwise(F.ceil((length - size) / F.lit(float(step)))).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.greatest(F.least(i * step, length - size), F.lit(0)).cast("int"))
+
+    cells = F.flatten(F.transform(starts(height), lambda y: F.transform(starts(width), lambda x: F.struct(x.alias("x"), y.alias("y")))))
+    made = F.transform(cells, lambda c, i: F.struct((i + 1).cast("int").alias("tile"), c["x"].alias("x"), c["y"].alias("y"), F.least(width, F.lit(size)).cast("int").alias("width"), F.least(height, F.lit(size)).cast("int").alias("height")))
+    whole = F.struct(F.lit(0).alias("tile"), F.lit(0).alias("x"), F.lit(0).alias("y"), width.cast("int").alias("width"), height.cast("int").alias("height"))
+    return F.concat(F.array(whole), F.when(F.size(cells) > 1, made).otherwise(F.array().cast("array<struct<tile:int,x:int,y:int,width:int,height:int>>")))
+
+
+def cut_by_tile(x0: Column, x1: Column, y0: Column, y1: Column, tile: Column, width: Column, height: Column) -> Column:
+    """Whether a region, in its tile's pixels, touches an edge of the tile that is none of the image's: it may be cut there."""
+    left, top = (x0 <= 0) & (tile["x"] > 0), (y0 <= 0) & (tile["y"] > 0)
+    right, bottom = (x1 >= tile["width"] - 1) & (tile["x"] + tile["width"] < width), (y1 >= tile["height"] - 1) & (tile["y"] + tile["height"] < height)
+    return left | top | right | bottom

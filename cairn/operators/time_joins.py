@@ -85,3 +85,22 @@ def interpolated(placed: DataFrame, max_gap: int) -> DataFrame:
     status = F.when(exact, "exact").when(missing, "out_of_range").when(gap > max_gap, "interpolation_gap").otherwise("interpolated")
     value = F.when(exact, F.col("v0")).when(~missing & (gap <= max_gap), F.col("v0") + (F.col("v1") - F.col("v0")) * share)
     return placed.select("query_id", value.alias("value"), status.alias("status"))
+
+
+def select_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows with one of ``ids``. Ids that no row has are an error, which names the least of them."""
+    missing = ids.join(df.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("n"), F.min(key).alias("first")).first()
+    if missing["n"]:
+        raise ValueError(f"{missing['n']} ids are not there, the first is {missing['first']}")
+    return df.join(ids.distinct(), key, "left_semi")
+
+
+def selection_identity(kind: str, *values: object) -> str:
+    """A digest of what a selection asks for: full, positions, times or ids, and its bounds or sorted ids."""
+    import hashlib
+    import json
+
+    if kind not in ("full", "positions", "times", "ids"):
+        raise ValueError(f"no selection by {kind!r}")
+    asked = sorted(map(str, values)) if kind == "ids" else list(values)
+    return hashlib.sha256(json.dumps([kind, asked], separators=(",", ":")).encode()).hexdigest()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.text import folded, redact, relation
+from cairn.operators.text import cut_by_tile, folded, parse_response, redact, redact_json, region_reasons, relation, rendered, tiles
 from cairn.plans.registry import query
 from cairn.plans.tables import SQL_EVENTS, SQL_POINTS, events, load, points
 
@@ -179,3 +179,73 @@ def j16_reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that several records hold, and the splits they lie in."""
     rows = load(spark, sf_dir, "documents", "doc_id", "text").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("digest"), "doc_id")
     return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.countDistinct(F.col("doc_id") % 3).alias("splits")).filter("copies > 1")
+
+
+_SQL_ANSWERS = """an AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '```json' || chr(10) || '{"claims": [{"label": "' || event_type || '", "role": "primary", "confidence": ' || (value / 100) || '}]}' || chr(10) || '```' WHEN 1 THEN '{"claims": [], "abstained": true}' WHEN 2 THEN '{"claims": [{"label": "a", "role": "primary"}, {"label": "b", "role": "primary"}]}'
+  WHEN 3 THEN '{"claims": [], "note": 1}' WHEN 4 THEN 'I think it is a ' || event_type WHEN 5 THEN '{"claims": [{"label": " ", "role": "primary"}]}' WHEN 6 THEN '{"claims": [{"label": "a", "role": "alternative"}, {"label": "' || event_type || '", "role": "primary"}]}' WHEN 7 THEN '' ELSE '{"claims": []}' END AS answer, value FROM events)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events", "event_id", "event_type", "value")
+    k, kind = F.col("event_id") % 9, F.col("event_type")
+    lit = F.lit
+    answer = (
+        F.when(k == 0, F.concat(lit('```json\n{"claims": [{"label": "'), kind, lit('", "role": "primary", "confidence": '), (F.col("value") / 100).cast("string"), lit("}]}\n```")))
+        .when(k == 1, lit('{"claims": [], "abstained": true}')).when(k == 2, lit('{"claims": [{"label": "a", "role": "primary"}, {"label": "b", "role": "primary"}]}')).when(k == 3, lit('{"claims": [], "note": 1}'))
+        .when(k == 4, F.concat(lit("I think it is a "), kind)).when(k == 5, lit('{"claims": [{"label": " ", "role": "primary"}]}')).when(k == 6, F.concat(lit('{"claims": [{"label": "a", "role": "alternative"}, {"label": "'), kind, lit('", "role": "primary"}]}')))
+        .when(k == 7, lit("")).otherwise(lit('{"claims": []}'))
+    )
+    return rows.select("event_id", "value", answer.alias("answer"))
+
+
+@query(
+    "b18_strict_answers",
+    f"""WITH {_SQL_ANSWERS} SELECT event_id, CASE event_id % 9 WHEN 0 THEN CASE WHEN value / 100 NOT BETWEEN 0 AND 1 THEN 'confidence' END WHEN 2 THEN 'not_one_primary' WHEN 3 THEN 'wrong_keys' WHEN 4 THEN 'not_json' WHEN 5 THEN 'wrong_claim' WHEN 7 THEN 'empty' WHEN 8 THEN 'no_claim' END AS problem,
+  CASE WHEN event_id % 9 = 0 AND value / 100 BETWEEN 0 AND 1 THEN 1 WHEN event_id % 9 = 1 THEN 0 WHEN event_id % 9 = 6 THEN 2 END AS claims, sha256(answer) AS raw FROM an""",
+)
+def b18_strict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with and without faults; the raw text is kept either way."""
+    rows = _answers(spark, sf_dir).withColumn("p", parse_response(F.col("answer")))
+    return rows.select("event_id", F.col("p.problem").alias("problem"), F.when(F.col("p.claims").isNotNull(), F.size("p.claims")).alias("claims"), F.sha2("answer", 256).alias("raw"))
+
+
+@query("b19_prompts", "SELECT p_partkey, 'What is ' || p_name || ' of ' || p_brand || '? Answer as {\"claims\": [...]}.' AS prompt, sha256('What is {name} of {brand}? Answer as {{\"claims\": [...]}}.' || chr(1) || 'brand' || chr(2) || p_brand || chr(1) || 'name' || chr(2) || p_name) AS fingerprint FROM part")
+def b19_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = rendered('What is {name} of {brand}? Answer as {{"claims": [...]}}.', name=F.col("p_name"), brand=F.col("p_brand"))
+    return load(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select("p_partkey", made.alias("m")).select("p_partkey", "m.prompt", "m.fingerprint")
+
+
+@query("b20_json_redaction", """SELECT c_custkey, '{"name":"' || c_name || '","login":{"api_key":"[redacted]","tries":[{"my_token":"[redacted]","n":1}]},"mail":"[redacted]"}' AS config FROM customer""")
+def b20_json_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal")
+    text = F.concat(F.lit('{"name":"'), F.col("c_name"), F.lit('","login":{"api_key":"k'), F.col("c_acctbal").cast("string"), F.lit('","tries":[{"my_token":'), F.col("c_custkey").cast("string"), F.lit(',"n":1}]},"mail":"a'), F.col("c_custkey").cast("string"), F.lit('@example.com"}'))
+    return rows.select("c_custkey", redact_json(text).alias("config"))
+
+
+@query(
+    "b9_region_reasons",
+    "SELECT o_orderkey AS id, CASE WHEN area < 20000 THEN 'too_small' WHEN area > 450000 THEN 'too_large' WHEN valid / area < 0.5 THEN 'outside_valid_region' WHEN excluded / area > 0.2 THEN 'in_exclusion' END AS reason FROM (SELECT o_orderkey, o_totalprice AS area, coalesce(sum(l_extendedprice) FILTER (l_returnflag <> 'R'), 0) AS valid, coalesce(sum(l_extendedprice) FILTER (l_discount > 0.08), 0) AS excluded FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)",
+)
+def b9_region_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as regions: of their prices, that of items not returned lies in the valid region, that of discounted ones in an exclusion."""
+    orders, items = load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), load(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_returnflag", "l_discount")
+    price, zero = F.col("l_extendedprice"), F.lit(0.0)
+    sums = items.groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") != "R", price)).alias("valid"), F.sum(F.when(F.col("l_discount") > 0.08, price)).alias("excluded"))
+    rows = orders.join(sums, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    reason = region_reasons(F.col("o_totalprice"), F.coalesce("valid", zero), F.coalesce("excluded", zero), 20000, 450000, 0.5, 0.2)
+    return rows.select(F.col("o_orderkey").alias("id"), reason.alias("reason"))
+
+
+@query(
+    "b10_image_tiles",
+    """WITH f AS (SELECT p_partkey AS frame, 200 + p_size * 20 AS w, 150 + p_size * 15 AS h FROM part), s AS (SELECT *, CASE WHEN w <= 256 THEN 0 ELSE ceil((w - 256) / 192.0)::INT END AS nx, CASE WHEN h <= 256 THEN 0 ELSE ceil((h - 256) / 192.0)::INT END AS ny FROM f),
+t AS (SELECT frame, w, h, (j * (nx + 1) + i + 1)::INT AS tile, greatest(least(i * 192, w - 256), 0)::INT AS x, greatest(least(j * 192, h - 256), 0)::INT AS y, least(w, 256)::INT AS width, least(h, 256)::INT AS height FROM s, range(6) AS a(i), range(6) AS b(j) WHERE i <= nx AND j <= ny AND (nx > 0 OR ny > 0))
+SELECT frame, tile, x, y, width, height, (100 >= width - 1 AND x + width < w) OR y > 0 AS cut FROM t UNION ALL SELECT frame, 0, 0, 0, w::INT, h::INT, false FROM f""",
+)
+def b10_image_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole image and its tiles, and whether a region from (5, 0) to (100, 20) of each may be cut by its edge."""
+    size = F.col("p_size")
+    frames = load(spark, sf_dir, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("frame"), (200 + size * 20).alias("w"), (150 + size * 15).alias("h"))
+    each = frames.select("frame", "w", "h", F.explode(tiles(F.col("w"), F.col("h"), 256, 64)).alias("t"))
+    lit = F.lit
+    return each.select("frame", "t.tile", "t.x", "t.y", "t.width", "t.height", cut_by_tile(lit(5), lit(100), lit(0), lit(20), F.col("t"), F.col("w"), F.col("h")).alias("cut"))

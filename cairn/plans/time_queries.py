@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.time_joins import interpolated, nearest_record, nearest_within, neighbours_in_time
+from cairn.operators.time_joins import interpolated, nearest_record, nearest_within, neighbours_in_time, select_ids
 from cairn.plans.registry import query
-from cairn.plans.tables import SQL_EVENTS, events
+from cairn.plans.tables import SQL_EVENTS, events, load
 
 HOUR = 3_600_000_000
 
@@ -22,7 +22,7 @@ def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT a.event_id AS anchor_id, c.event_id AS candidate_id, c.t - a.t AS o, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(c.t - a.t), c.event_id) AS r
   FROM a JOIN c ON a.clock = c.clock AND abs(c.t - a.t) <= {2 * HOUR})
 SELECT a.clock, a.event_id AS anchor_id, m.candidate_id, m.o AS offset, CASE WHEN m.candidate_id IS NOT NULL THEN 'matched'
-  WHEN a.clock IN (SELECT clock FROM c) THEN 'outside_tolerance' ELSE 'no_candidate' END AS status FROM a LEFT JOIN m ON m.anchor_id = a.event_id AND r = 1""",
+  WHEN a.clock IN (SELECT clock FROM c) THEN 'outside_tolerance' WHEN (SELECT count(*) FROM c) > 0 THEN 'clock_id_mismatch' ELSE 'no_candidate' END AS status FROM a LEFT JOIN m ON m.anchor_id = a.event_id AND r = 1""",
 )
 def c1_tolerance_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = _anchors(spark, sf_dir).select("clock", F.col("event_id").alias("anchor_id"), "t")
@@ -131,3 +131,11 @@ def d15_sequence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b18_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", k.alias("k"), k.isNull().alias("unavailable"))
+
+
+@query("b1_id_selection", f"WITH {SQL_EVENTS} SELECT event_id, clock, t FROM ev WHERE event_id IN (SELECT l_orderkey FROM lineitem) AND event_id < 1000")
+def b1_id_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly the ids asked for; an id that is not there would be an error."""
+    rows = events(spark, sf_dir)
+    ids = load(spark, sf_dir, "lineitem", "l_orderkey").filter("l_orderkey < 1000").select(F.col("l_orderkey").alias("event_id")).distinct()
+    return select_ids(rows, ids, "event_id").select("event_id", "clock", "t")

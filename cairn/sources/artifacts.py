@@ -36,9 +36,13 @@ def in_window(df: DataFrame, clock: str, start: int, end: int) -> DataFrame:
     return df.filter((F.col("clock") == clock) & (F.col("t") >= start) & (F.col("t") < end))
 
 
-def content_digest(df: DataFrame, row_digest: Column) -> DataFrame:
-    """One row (n, digest) that is the same in whatever order the rows come: the sum of 32 bits of each row's digest."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(row_digest, 1, 8), 16, 10).cast("long")).alias("digest"))
+def content_digest(df: DataFrame, row_digest: Column, digits: int = 4) -> DataFrame:
+    """One row (n, digest), the same in whatever order the rows come: SHA-256 over the sorted digests of rows, taken first by the rows'
+    leading ``digits`` hexadecimal digits, then over those in order, so that no task holds more than a part."""
+    rows = df.select(row_digest.alias("d")).withColumn("p", F.substring("d", 1, digits))
+    parts = rows.groupBy("p").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("h"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256)
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), whole.alias("digest"))
 
 
 def pose_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -40,8 +40,12 @@ def test_equals_sql(spark, duck, name):
     assert mine == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
+#: What depends on an order or a decomposition that SQL has not; tests/test_operators.py compares these with plain loops.
+WITHOUT_SQL = {"g9_region_merge", "j16_annotator_agreement", "j1_aligned_error"}
+
+
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql()) | WITHOUT_SQL
 
 
 def test_entry_imports_without_optional_parts(monkeypatch):
