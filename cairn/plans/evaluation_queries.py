@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.evidence import hypotheses, uncertainty
+from cairn.operators.moments import exact_quantiles
 from cairn.operators.time_joins import nearest_record
 from cairn.plans.evidence_queries import _INVERSE, _SQL_CLAIMS, _SQL_FOLLOW, _SQL_RELATIONS, _claims, _relations, _stated
 from cairn.plans.registry import query
@@ -35,7 +36,8 @@ SELECT status, count(*)::BIGINT AS n, quantile_disc(delta, 0.5) AS middle_low, m
 def d12_lookup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lower of the two middle deltas where their number is even."""
     found = nearest_record(_placed(spark, sf_dir), 24 * HOUR)
-    return found.groupBy("status").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY delta)").cast("long").alias("middle_low"), F.max("delta").alias("most"))
+    middle = exact_quantiles(found, "status", "delta", {"middle_low": 0.5}).withColumn("middle_low", F.col("middle_low").cast("long"))
+    return found.groupBy("status").agg(F.count("*").alias("n"), F.max("delta").alias("most")).join(middle, "status", "left")
 
 
 @query(
@@ -178,7 +180,8 @@ def i15_observation_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def i18_offset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("value", F.explode(F.array(*map(F.lit, (-10, -5, 0, 5, 10)))).alias("off")).withColumn("r", F.abs(F.col("value") - F.col("off")))
-    return rows.groupBy("off").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.percentile("r", 0.95), 6).alias("p95"))
+    p95 = exact_quantiles(rows, "off", "r", {}, {"p95": 0.95}).withColumn("p95", F.round("p95", 6))
+    return rows.groupBy("off").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean")).join(p95, "off")
 
 
 @query(
@@ -188,7 +191,8 @@ def i18_offset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j7_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents", "doc_id", "lang", "n_chars").join(load(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id", "left")
     good = F.count_if(F.col("quality") == 1)
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), good.alias("acceptable"), F.count_if(F.col("quality").isNull()).alias("unmapped"), F.round(F.try_divide(good, F.count("quality")), 6).alias("rate"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias("p95"))
+    p95 = exact_quantiles(rows, "lang", "n_chars", {"p95": 0.95}).withColumn("p95", F.col("p95").cast("long"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), good.alias("acceptable"), F.count_if(F.col("quality").isNull()).alias("unmapped"), F.round(F.try_divide(good, F.count("quality")), 6).alias("rate")).join(p95, "lang", "left")
 
 
 @query(

@@ -151,10 +151,10 @@ def e1_pose_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "dt", F.round(step, 6).alias("distance"), F.round(angle, 6).alias("angle"), F.when(F.col("dt") > 0, F.round(angle / F.col("dt") * 1e9, 5)).alias("turn_rate"))
 
 
-@query("d17_orientation", f"WITH {SQL_ENTITY_POINTS}, {SQL_EIGEN('ep', 'entity', 'eo_')}, r AS (SELECT *, CASE WHEN n < 5 THEN 'too_few_points' WHEN NOT (e1 > 0 AND (e2 <= 0 OR e1 / greatest(e2, 0) >= 2) AND e2 > 0 AND (e3 <= 0 OR e2 / greatest(e3, 0) >= 2)) THEN 'not_distinct' END AS reason FROM eo_) SELECT entity, n::BIGINT AS n, round(greatest(e1, 0), 4) AS e1, CASE WHEN reason IS NULL THEN round(a1x, 4) END AS a1x, CASE WHEN reason IS NULL THEN round(a1z, 4) END AS a1z, CASE WHEN reason IS NULL THEN round(a2z, 3) END AS a2z, CASE WHEN reason IS NULL THEN round(a1x * a2y - a1y * a2x, 3) END AS a3z, reason FROM r")
+@query("d17_orientation", f"WITH {SQL_ENTITY_POINTS}, {SQL_EIGEN('ep', 'entity', 'eo_')}, r AS (SELECT *, CASE WHEN n < 5 THEN 'too_few_points' WHEN NOT (e1 > 0 AND (e2 <= 0 OR e1 / greatest(e2, 0) >= 2) AND e2 > 0 AND (e3 <= 0 OR e2 / greatest(e3, 0) >= 2)) THEN 'not_distinct' END AS reason FROM eo_) SELECT entity, n::BIGINT AS n, round(greatest(e1, 0), 4) AS e1, CASE WHEN reason IS NULL THEN round(a1x, 4) + 0.0 END AS a1x, CASE WHEN reason IS NULL THEN round(a1z, 4) + 0.0 END AS a1z, CASE WHEN reason IS NULL THEN round(a2z, 3) + 0.0 END AS a2z, CASE WHEN reason IS NULL THEN round(a1x * a2y - a1y * a2x, 3) + 0.0 END AS a3z, reason FROM r")
 def d17_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = orientation(entity_points(spark, sf_dir), "entity", 5, 2.0)
-    return found.select("entity", "n", F.round("e1", 4).alias("e1"), *[F.round(c, 4).alias(c) for c in ("a1x", "a1z")], *[F.round(c, 3).alias(c) for c in ("a2z", "a3z")], "reason")
+    return found.select("entity", "n", F.round("e1", 4).alias("e1"), *[(F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("a1x", 4), ("a1z", 4), ("a2z", 3), ("a3z", 3))], "reason")
 
 
 @query(

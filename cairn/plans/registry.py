@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _all() -> dict[str, Entry]:
-    from cairn.plans import entity_queries, evaluation_queries, evidence_queries, map_queries, measure_queries, relation_queries, report_queries, shape_queries, source_queries, spatial_queries, text_queries, time_queries  # noqa: F401
+    from cairn.plans import entity_queries, evaluation_queries, evidence_queries, map_queries, measure_queries, measure_whole_queries, relation_queries, report_queries, shape_queries, source_queries, spatial_queries, text_queries, time_queries  # noqa: F401
 
     return _ENTRIES
 

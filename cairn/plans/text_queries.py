@@ -181,7 +181,7 @@ def j16_reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.countDistinct(F.col("doc_id") % 3).alias("splits")).filter("copies > 1")
 
 
-_SQL_ANSWERS = """an AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '```json' || chr(10) || '{"claims": [{"label": "' || event_type || '", "role": "primary", "confidence": ' || (value / 100) || '}]}' || chr(10) || '```' WHEN 1 THEN '{"claims": [], "abstained": true}' WHEN 2 THEN '{"claims": [{"label": "a", "role": "primary"}, {"label": "b", "role": "primary"}]}'
+_SQL_ANSWERS = """an AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '```json' || chr(10) || '{"claims": [{"label": "' || event_type || '", "role": "primary", "confidence": ' || (value / 100)::DECIMAL(12, 4) || '}]}' || chr(10) || '```' WHEN 1 THEN '{"claims": [], "abstained": true}' WHEN 2 THEN '{"claims": [{"label": "a", "role": "primary"}, {"label": "b", "role": "primary"}]}'
   WHEN 3 THEN '{"claims": [], "note": 1}' WHEN 4 THEN 'I think it is a ' || event_type WHEN 5 THEN '{"claims": [{"label": " ", "role": "primary"}]}' WHEN 6 THEN '{"claims": [{"label": "a", "role": "alternative"}, {"label": "' || event_type || '", "role": "primary"}]}' WHEN 7 THEN '' ELSE '{"claims": []}' END AS answer, value FROM events)"""
 
 
@@ -190,7 +190,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, kind = F.col("event_id") % 9, F.col("event_type")
     lit = F.lit
     answer = (
-        F.when(k == 0, F.concat(lit('```json\n{"claims": [{"label": "'), kind, lit('", "role": "primary", "confidence": '), (F.col("value") / 100).cast("string"), lit("}]}\n```")))
+        F.when(k == 0, F.concat(lit('```json\n{"claims": [{"label": "'), kind, lit('", "role": "primary", "confidence": '), (F.col("value") / 100).cast("decimal(12,4)").cast("string"), lit("}]}\n```")))
         .when(k == 1, lit('{"claims": [], "abstained": true}')).when(k == 2, lit('{"claims": [{"label": "a", "role": "primary"}, {"label": "b", "role": "primary"}]}')).when(k == 3, lit('{"claims": [], "note": 1}'))
         .when(k == 4, F.concat(lit("I think it is a "), kind)).when(k == 5, lit('{"claims": [{"label": " ", "role": "primary"}]}')).when(k == 6, F.concat(lit('{"claims": [{"label": "a", "role": "alternative"}, {"label": "'), kind, lit('", "role": "primary"}]}')))
         .when(k == 7, lit("")).otherwise(lit('{"claims": []}'))

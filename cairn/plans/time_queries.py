@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.moments import exact_quantiles
 from cairn.operators.time_joins import interpolated, nearest_record, nearest_within, neighbours_in_time, select_ids
 from cairn.plans.registry import query
 from cairn.plans.tables import SQL_EVENTS, events, load
@@ -117,9 +118,10 @@ def e2_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d11_order_statistics", f"WITH {SQL_EVENTS} SELECT modality, count(*)::BIGINT AS n, min(value) AS least, round(median(value), 6) AS middle, quantile_disc(value, 0.95) AS p95_rank, round(quantile_cont(value, 0.95), 6) AS p95_linear, max(value) AS most FROM ev GROUP BY 1")
 def d11_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rules for the 95th percentile: nearest rank (D11) and linear (D13)."""
-    return events(spark, sf_dir).groupBy("modality").agg(
-        F.count("*").alias("n"), F.min("value").alias("least"), F.round(F.median("value"), 6).alias("middle"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95_rank"), F.round(F.percentile("value", 0.95), 6).alias("p95_linear"), F.max("value").alias("most")
-    )
+    rows = events(spark, sf_dir)
+    ranks = exact_quantiles(rows, "modality", "value", {"p95_rank": 0.95}, {"middle": 0.5, "p95_linear": 0.95})
+    whole = rows.groupBy("modality").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return whole.join(ranks, "modality").select("modality", "n", "least", F.round("middle", 6).alias("middle"), "p95_rank", F.round("p95_linear", 6).alias("p95_linear"), "most")
 
 
 @query("d15_sequence_summary", f"WITH {SQL_EVENTS} SELECT modality, count(*)::BIGINT AS n, count(DISTINCT clock)::BIGINT AS clocks, min(t) AS first_t, max(t) AS last_t FROM ev GROUP BY 1")

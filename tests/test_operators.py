@@ -329,6 +329,8 @@ def test_exact_quantiles(spark):
     got = {r["g"]: (r["half"], r["p95"]) for r in moments.exact_quantiles(df, "g", "v", {"half": 0.5, "p95": 0.95}, bins=7).collect()}
     rank = lambda vs, p: sorted(vs)[max(1, math.ceil(len(vs) * p - 1e-9)) - 1]
     assert got == {g: (rank(vs, 0.5), rank(vs, 0.95)) for g, vs in values.items()} and got["a"][1] == 19
+    mixed = {r["g"]: (r["p"], r["q"]) for r in moments.exact_quantiles(df, "g", "v", {}, {"p": 0.95, "q": 0.5}, bins=3).collect()}
+    assert all(mixed[g] == pytest.approx((np.quantile(vs, 0.95), np.quantile(vs, 0.5))) for g, vs in values.items()) and mixed["a"][0] == pytest.approx(19.05)
 
 
 def test_slerp_goes_the_shorter_way(spark):
