@@ -613,3 +613,14 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark):
     context = mock.Mock(master="spark://host:7077", **{"getCheckpointDir.return_value": None})
     with pytest.raises(RuntimeError):
         common.checkpoint_folder(mock.Mock(sparkContext=context, conf=mock.Mock(**{"get.return_value": None})))
+
+
+def test_long_notices_are_found_whole_and_edited(spark):
+    rng = random.Random(12)
+    around = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    long = [n for n in license_scan.TEMPLATES if n.endswith("-text")]
+    edited = lambda t: " ".join(w if i % 40 else "other" for i, w in enumerate(t.split(), 1))
+    rows = [(k * 100 + i, f"{around(30 + i)} {edit(license_scan.TEMPLATES[n])} {around(30)}", n) for k, edit in enumerate((str, edited)) for i, n in enumerate(long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    found = {(r["_id"], r["license"]): r["containment"] for r in license_scan.best(license_scan.scan(docs)).collect()}
+    assert all((i, n) in found for i, _, n in rows) and all(found[i, n] == 1.0 for i, _, n in rows if i < 100)
