@@ -290,3 +290,31 @@ def report_problems(report: DataFrame, registry: DataFrame) -> DataFrame:
         .when(F.col("_nth") > 1, "repeated")
     )
     return rows.select("metric", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def association_stability(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Per observation of two associations (observation, index, x, y, z) of the same frames: points of either, kept (in both), the share of the first's
+    that was kept, disagreement (1 - Jaccard), how far the centroid moved, and the change of the extent; an observation that only one
+    has counts as empty in the other, and has no centroid to move."""
+    one = lambda df, n: df.select("observation", "index", F.lit(n == "a").alias("_a"), F.lit(n == "b").alias("_b"), *AXES)
+    each = one(first, "a").unionByName(one(second, "b"))
+    whole = each.groupBy("observation", "index").agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b"), *[F.max(a).alias(a) for a in AXES])
+    mine = lambda f, side, a: f(F.when(F.col(side), F.col(a)))
+    aggs = [mine(F.avg, s, a).alias(f"{s}c{a}") for s in ("_a", "_b") for a in AXES] + [(mine(F.max, s, a) - mine(F.min, s, a)).alias(f"{s}e{a}") for s in ("_a", "_b") for a in AXES]
+    rows = whole.groupBy("observation").agg(F.count_if("_a").alias("first"), F.count_if("_b").alias("second"), F.count_if(F.col("_a") & F.col("_b")).alias("kept"), F.count("*").alias("_n"), *aggs)
+    apart = lambda k: F.sqrt(sum(((F.col(f"_a{k}{a}") - F.col(f"_b{k}{a}")) ** 2 for a in "yz"), (F.col(f"_a{k}x") - F.col(f"_b{k}x")) ** 2))
+    return rows.select("observation", "first", "second", "kept", F.try_divide("kept", "first").alias("retention"), (1 - F.col("kept") / F.col("_n")).alias("disagreement"), apart("c").alias("shift"), apart("e").alias("extent_change"))
+
+
+def feature_report(features: DataFrame, again: DataFrame, group: str, low: float, high: float) -> DataFrame:
+    """Per group of vectors (feature, vector): n, components that are not finite, vectors whose length is outside [low, high], and of a second run's
+    vectors of the same ids how many are missing, and how many have other contents."""
+    digest = F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    bad = F.size(F.filter("vector", lambda x: ~finite(x)))
+    own = features.select(group, "feature", bad.alias("_bad"), length.alias("_length"), digest.alias("_digest"))
+    rows = own.join(again.select("feature", digest.alias("_again")), "feature", "left")
+    return rows.groupBy(group).agg(
+        F.count("*").alias("n"), F.sum("_bad").alias("not_finite"), F.count_if(~F.coalesce(F.col("_length").between(low, high), F.lit(False))).alias("bad_length"),
+        F.count_if(F.col("_again").isNull()).alias("missing"), F.count_if(F.col("_again") != F.col("_digest")).alias("changed"),
+    )

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 def hypotheses(claims: DataFrame) -> DataFrame:
     """Per support and label key: claims, different observations, those with it as primary, and the spelling most used
-    (of equals the first in text order). ``claims``: support, observation, key, label, role."""
-    spelled = claims.groupBy("support", "key", "label").agg(F.count("*").alias("n"))
-    spelling = spelled.groupBy("support", "key").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("s"))
-    counted = claims.groupBy("support", "key").agg(
-        F.count("*").alias("claims"), F.countDistinct("observation").alias("observations"), F.countDistinct(F.when(F.col("role") == "primary", F.col("observation"))).alias("primary_observations")
-    )
-    return counted.join(spelling, ["support", "key"]).select("support", "key", F.col("s.label").alias("label"), "claims", "observations", "primary_observations")
+    (of equals the first in text order). ``claims``: support, observation, key, label, role. Claims are summed up by observation
+    and spelling first; all counts come from those sums, so nothing is expanded to count what is different."""
+    summed = claims.groupBy("support", "key", "observation", "label").agg(F.count("*").alias("n"), F.max((F.col("role") == "primary").cast("int")).alias("primary"))
+    spelled = summed.groupBy("support", "key", "label").agg(F.sum("n").alias("n")).groupBy("support", "key").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("s"))
+    seen = summed.groupBy("support", "key", "observation").agg(F.sum("n").alias("n"), F.max("primary").alias("primary"))
+    there = F.col("observation").isNotNull()
+    counted = seen.groupBy("support", "key").agg(F.sum("n").alias("claims"), F.count_if(there).alias("observations"), F.count_if(there & (F.col("primary") == 1)).alias("primary_observations"))
+    return counted.join(spelled, ["support", "key"]).select("support", "key", F.col("s.label").alias("label"), "claims", "observations", "primary_observations")
 
 
 def uncertainty(found: DataFrame, margin: int) -> DataFrame:

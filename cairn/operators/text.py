@@ -139,3 +139,43 @@ def cut_by_tile(x0: Column, x1: Column, y0: Column, y1: Column, tile: Column, wi
     left, top = (x0 <= 0) & (tile["x"] > 0), (y0 <= 0) & (tile["y"] > 0)
     right, bottom = (x1 >= tile["width"] - 1) & (tile["x"] + tile["width"] < width), (y1 >= tile["height"] - 1) & (tile["y"] + tile["height"] < height)
     return left | top | right | bottom
+
+
+#: Bytes of a pixel by encoding.
+PIXEL = {"mono8": 1, "mono16": 2, "rgb8": 3, "bgr8": 3, "rgba8": 4, "bgra8": 4}
+
+
+def structural_problems(modality: Column, width: Column, height: Column, encoding: Column, data_bytes: Column, n_points: Column, step: Column, fields: Column) -> Column:
+    """array of all that is wrong with a record: image_bytes (not width * height pixels of its encoding), unknown_encoding, cloud_bytes (not points *
+    step), duplicate_field and field_beyond_point; empty where nothing is. ``fields``: array<struct<name, offset, bytes>>."""
+    size = F.create_map(*[F.lit(x) for kv in PIXEL.items() for x in kv])[encoding]
+    image, cloud = modality == "image", modality == "cloud"
+    names = F.transform(fields, lambda f: f["name"])
+    found = (
+        F.when(image & size.isNull(), "unknown_encoding"),
+        F.when(image & (width * height * size != data_bytes), "image_bytes"),
+        F.when(cloud & (n_points * step != data_bytes), "cloud_bytes"),
+        F.when(cloud & (F.size(F.array_distinct(names)) < F.size(names)), "duplicate_field"),
+        F.when(cloud & F.exists(fields, lambda f: (f["offset"] < 0) | (f["offset"] + f["bytes"] > step)), "field_beyond_point"),
+    )
+    return F.array_compact(F.array(*found))
+
+
+def image_chain(u: Column, v: Column, size: tuple[int, int], steps: list[tuple]) -> tuple[Column, Column, Column]:
+    """(u, v, inside) of a raw pixel in the prepared image, through ("crop", x, y, width, height), ("resize", width, height) and ("normalize",), which
+    moves nothing, in turn. Pixels' centres are whole; the image reaches from -0.5, included, to its size less 0.5. Rectified images
+    are refused, as their pixels do not follow from the raw ones by these."""
+    width, height = size
+    for name, *numbers in steps:
+        if name == "crop":
+            x, y, w, h = numbers
+            if x < 0 or y < 0 or x + w > width or y + h > height:
+                raise ValueError(f"the crop {numbers} is not within {width} x {height}")
+            u, v, width, height = u - x, v - y, w, h
+        elif name == "resize":
+            w, h = numbers
+            u, v = (u + 0.5) * (w / width) - 0.5, (v + 0.5) * (h / height) - 0.5
+            width, height = w, h
+        elif name != "normalize":
+            raise ValueError(f"no pixels can be followed through {name!r}")
+    return u, v, (u >= -0.5) & (u < width - 0.5) & (v >= -0.5) & (v < height - 0.5)

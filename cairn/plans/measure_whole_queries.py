@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import Camera, project
+from cairn.operators.evaluation import association_stability, feature_report
 from cairn.operators.measures import evidence_by_run, geometry_summary, observation_quality, pooled_feature, region_membership, regions_per_point, residual_statistics, resolve_entities, segmentation_accuracy, stances, sync_offsets, temporal_channel, transform_points
+from cairn.operators.text import image_chain, structural_problems
 from cairn.operators.time_joins import nearest_within
 from cairn.plans.evidence_queries import _SQL_CLAIMS, _claims
 from cairn.plans.registry import query
@@ -232,3 +234,53 @@ def c23_evidence_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evidence_by_run(items.select(F.col("l_orderkey").alias("observation"), F.col("l_linestatus").alias("sequence"), F.col("l_returnflag").alias("run"), F.col("l_partkey").alias("result")))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("runs")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return found.select("observation", text.alias("runs"), "problem")
+
+
+@query(
+    "b3_structural_validators",
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'image' ELSE 'cloud' END AS modality, p_size AS s, ['mono8', 'rgb8', 'odd'][p_size % 3 + 1] AS encoding, p_retailprice FROM part),
+v AS (SELECT p_partkey, CASE WHEN modality = 'image' AND encoding = 'odd' THEN 'unknown_encoding' END AS a, CASE WHEN modality = 'image' AND encoding <> 'odd' AND s * 10 * CASE encoding WHEN 'mono8' THEN 1 ELSE 3 END <> s * 10 * CASE WHEN p_retailprice > 950 THEN 1 ELSE 3 END THEN 'image_bytes' END AS b,
+  CASE WHEN modality = 'cloud' AND s * 16 <> s * 10 * CASE WHEN p_retailprice > 950 THEN 1 ELSE 3 END THEN 'cloud_bytes' END AS c, CASE WHEN modality = 'cloud' AND s > 40 THEN 'duplicate_field' END AS d, CASE WHEN modality = 'cloud' AND s < 10 THEN 'field_beyond_point' END AS e FROM r)
+SELECT p_partkey, concat_ws(',', a, b, c, d, e) AS problems FROM v""",
+)
+def b3_structural_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records of images and clouds whose bytes do not always come out."""
+    size = F.col("p_size")
+    fields = F.array(*[F.struct(n.alias("name"), o.alias("offset"), F.lit(4).alias("bytes")) for n, o in ((F.lit("x"), F.lit(0)), (F.when(size > 40, "x").otherwise("y"), F.lit(4)), (F.lit("z"), F.when(size < 10, 14).otherwise(8)))])
+    encoding = F.array(*map(F.lit, ("mono8", "rgb8", "odd")))[size % 3]
+    stored = size * 10 * F.when(F.col("p_retailprice") > 950, 1).otherwise(3)
+    found = structural_problems(F.when(size % 2 == 0, "image").otherwise("cloud"), size, F.lit(10), encoding, stored, size, F.lit(16), fields)
+    return load(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select("p_partkey", F.array_join(found, ",").alias("problems"))
+
+
+@query(
+    "b11_image_chain",
+    f"""WITH {SQL_POINTS}, m AS (SELECT point, (x * 12 - 16 + 0.5) * 0.5 - 0.5 AS u, (y * 40 - 8 + 0.5) * 0.25 - 0.5 AS v FROM points) SELECT point, round(u - 4, 6) AS u, round(v, 6) AS v, u - 4 >= -0.5 AND u - 4 < 199.5 AND v >= -0.5 AND v < 59.5 AS inside FROM m""",
+)
+def b11_image_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crop, a change of size, another crop and a normalisation."""
+    u, v, inside = image_chain(F.col("x") * 12, F.col("y") * 40, (640, 480), [("crop", 16, 8, 512, 320), ("resize", 256, 80), ("crop", 4, 0, 200, 60), ("normalize",)])
+    return points(spark, sf_dir).select("point", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"), inside.alias("inside"))
+
+
+@query(
+    "j14_association_stability",
+    f"""WITH {SQL_ENTITY_POINTS}, s AS (SELECT *, x > 10 AS a, y < 960 AND x < 45 AS b FROM ep), k AS (SELECT entity AS observation, count(*) FILTER (a) AS first, count(*) FILTER (b) AS second, count(*) FILTER (a AND b) AS kept, count(*) FILTER (a OR b) AS n,
+  sqrt((avg(x) FILTER (a) - avg(x) FILTER (b)) ** 2 + (avg(y) FILTER (a) - avg(y) FILTER (b)) ** 2 + (avg(z) FILTER (a) - avg(z) FILTER (b)) ** 2) AS shift FROM s WHERE a OR b GROUP BY 1)
+SELECT observation, first::BIGINT AS first, second::BIGINT AS second, kept::BIGINT AS kept, round(kept / nullif(first, 0), 6) AS retention, round(1 - kept / n, 6) AS disagreement, round(shift, 6) AS shift FROM k""",
+)
+def j14_association_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entity_points(spark, sf_dir).withColumnsRenamed({"entity": "observation", "point": "index"})
+    found = association_stability(rows.filter("x > 10"), rows.filter("y < 960 AND x < 45"))
+    return found.select("observation", "first", "second", "kept", *[F.round(c, 6).alias(c) for c in ("retention", "disagreement", "shift")])
+
+
+@query(
+    "j6_feature_report",
+    "WITH v AS (SELECT label, vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT label, count(*)::BIGINT AS n, 0::BIGINT AS not_finite, count(*) FILTER (n NOT BETWEEN 0.9 AND 1.1)::BIGINT AS bad_length, count(*) FILTER (vec_id % 7 = 0)::BIGINT AS missing, count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 5 = 0)::BIGINT AS changed FROM v GROUP BY 1",
+)
+def j6_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors against a second run that lacks some and has others changed."""
+    rows = load(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").select("label", F.col("vec_id").alias("feature"), F.col("embedding").cast("array<double>").alias("vector"))
+    again = rows.filter("feature % 7 <> 0").withColumn("vector", F.when(F.col("feature") % 5 == 0, F.transform("vector", lambda x: x + 1)).otherwise(F.col("vector")))
+    return feature_report(rows, again, "label", 0.9, 1.1)
