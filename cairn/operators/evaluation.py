@@ -318,3 +318,84 @@ def feature_report(features: DataFrame, again: DataFrame, group: str, low: float
         F.count("*").alias("n"), F.sum("_bad").alias("not_finite"), F.count_if(~F.coalesce(F.col("_length").between(low, high), F.lit(False))).alias("bad_length"),
         F.count_if(F.col("_again").isNull()).alias("missing"), F.count_if(F.col("_again") != F.col("_digest")).alias("changed"),
     )
+
+
+def clock_plausibility(primary: DataFrame, auxiliary: DataFrame, group: str) -> DataFrame:
+    """(group, verdict) for two streams (group, clock, t) that are to be merged: empty, several_clocks (either has more than one), different_clocks,
+    disjoint (their times do not overlap) or plausible; which is no proof that the clocks agree."""
+    one = lambda df, n: df.groupBy(group).agg(F.min("clock").alias(f"{n}_c"), (F.min("clock") != F.max("clock")).alias(f"{n}_many"), F.min("t").alias(f"{n}_0"), F.max("t").alias(f"{n}_1"))
+    rows = one(primary, "p").join(one(auxiliary, "a"), group, "full")
+    verdict = (
+        F.when(F.col("p_0").isNull() | F.col("a_0").isNull(), "empty")
+        .when(F.col("p_many") | F.col("a_many"), "several_clocks")
+        .when(F.col("p_c") != F.col("a_c"), "different_clocks")
+        .when((F.col("p_1") < F.col("a_0")) | (F.col("a_1") < F.col("p_0")), "disjoint")
+        .otherwise("plausible")
+    )
+    return rows.select(group, verdict.alias("verdict"))
+
+
+@dataclass(frozen=True)
+class FrameTolerances:
+    """None leaves a check out."""
+
+    pose_delta: int | None = None
+    window_offset: int | None = None
+    p95: float | None = None
+    invalid_rate: float | None = None
+
+
+def frame_findings(t: FrameTolerances) -> Column:
+    """array<struct<code, severity>> of a frame from its columns pose_delta, frame_t, map_first and map_last, visible, and of its reference
+    correspondences (null without a reference), evaluated, invalid and p95 of the residuals. How far a frame is outside the map's
+    times counts on either side."""
+    offset = F.when(F.col("frame_t") < F.col("map_first"), F.col("map_first") - F.col("frame_t")).when(F.col("frame_t") > F.col("map_last"), F.col("frame_t") - F.col("map_last")).otherwise(0)
+    seen = F.col("correspondences").isNotNull()
+    found = lambda code, severity, ok: F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    over = lambda value, limit: F.lit(False) if limit is None else value > limit
+    measured = seen & (F.col("evaluated") > F.col("invalid"))
+    return F.array_compact(
+        F.array(
+            found("pose_time_delta", "warning", over(F.col("pose_delta"), t.pose_delta)),
+            found("outside_map_window", "warning", over(offset, t.window_offset)),
+            found("nothing_visible", "failure", F.col("visible") == 0),
+            found("reprojection_p95", "warning", measured & over(F.col("p95"), t.p95)),
+            found("invalid_rate", "warning", measured & over(F.col("invalid") / F.col("evaluated"), t.invalid_rate)),
+            found("no_reference_projects", "failure", seen & (F.col("evaluated") > 0) & (F.col("evaluated") == F.col("invalid"))),
+            found("reference_not_evaluated", "warning", seen & (F.col("evaluated") == 0)),
+        )
+    )
+
+
+def reference_integrity(samples: DataFrame, observations: DataFrame, splits: DataFrame, annotated: DataFrame) -> DataFrame:
+    """(finding, severity, subject) over a reference set: duplicate_content (samples of one hash), overlapping_splits (a sample in several splits
+    of a scheme), straddling_group (a group's samples in several splits), observation_in_several_splits; and as warnings
+    shared_observation, in_no_split and without_annotation. ``samples``: (sample, hash, grp); ``observations``: (sample, observation);
+    ``splits``: (scheme, split, sample); ``annotated``: (sample)."""
+    dealt = splits.select("scheme", "split", "sample").distinct()
+    several = lambda df, key: df.groupBy("scheme", key).agg(F.countDistinct("split").alias("n")).filter("n > 1").select(F.col(key).alias("subject"))
+    parts = [
+        ("duplicate_content", "blocker", samples.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("hash").alias("subject"))),
+        ("overlapping_splits", "blocker", several(dealt, "sample")),
+        ("straddling_group", "blocker", several(dealt.join(samples.select("sample", "grp"), "sample").filter("grp IS NOT NULL"), "grp")),
+        ("observation_in_several_splits", "blocker", several(dealt.join(observations, "sample"), "observation")),
+        ("shared_observation", "warning", observations.distinct().groupBy("observation").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("observation").alias("subject"))),
+        ("in_no_split", "warning", samples.join(dealt, "sample", "left_anti").select(F.col("sample").alias("subject"))),
+        ("without_annotation", "warning", samples.join(annotated, "sample", "left_anti").select(F.col("sample").alias("subject"))),
+    ]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(f).alias("finding"), F.lit(s).alias("severity"), F.col("subject").cast("string").alias("subject")).distinct() for f, s, df in parts])
+
+
+def annotation_problems(width: Column, height: Column, x0: Column, y0: Column, x1: Column, y1: Column, area: Column, level: Column, occluded: Column) -> Column:
+    """array of what is wrong with an annotated region: empty_box, outside_image, empty_mask, mask_larger_than_box, and visibility (fully visible but
+    occluded in part, invisible but not wholly occluded, or partly visible but not between) and fraction (outside 0 to 1)."""
+    box = (x1 - x0) * (y1 - y0)
+    found = (
+        F.when((x1 <= x0) | (y1 <= y0), "empty_box"),
+        F.when((x0 < 0) | (y0 < 0) | (x1 > width) | (y1 > height), "outside_image"),
+        F.when(area <= 0, "empty_mask"),
+        F.when(area > box, "mask_larger_than_box"),
+        F.when(~occluded.between(0, 1), "fraction"),
+        F.when(((level == "visible") & (occluded > 0)) | ((level == "invisible") & (occluded < 1)) | ((level == "partial") & ((occluded <= 0) | (occluded >= 1))), "visibility"),
+    )
+    return F.array_compact(F.array(*found))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.geometry import Camera, project
-from cairn.operators.evaluation import association_stability, feature_report
+from cairn.operators.evaluation import FrameTolerances, annotation_problems, association_stability, banded, clock_plausibility, feature_report, frame_findings, reference_integrity
+from cairn.operators.frames import FrameGraph
 from cairn.operators.measures import evidence_by_run, geometry_summary, observation_quality, pooled_feature, region_membership, regions_per_point, residual_statistics, resolve_entities, segmentation_accuracy, stances, sync_offsets, temporal_channel, transform_points
+from cairn.operators.moments import exact_quantiles
+from cairn.operators.spatial_joins import neighbourhoods
 from cairn.operators.text import image_chain, structural_problems
 from cairn.operators.time_joins import nearest_within
 from cairn.plans.evidence_queries import _SQL_CLAIMS, _claims
@@ -15,6 +18,7 @@ from cairn.plans.registry import query
 from cairn.plans.spatial_queries import _SQL_PARTS, _parts
 from cairn.plans.tables import SQL_ENTITY_POINTS, SQL_EVENTS, SQL_POINTS, entity_points, events, load, micros, points
 from cairn.plans.time_queries import HOUR
+from cairn.runtime.plan import Plan, Stage, Input, topological_order
 
 _SQL_FOOT = f"""{SQL_POINTS}, mk AS (SELECT p_partkey // 20 AS frame, p_brand AS region, p_size::BIGINT AS row, (floor(p_retailprice)::BIGINT % 11) AS col FROM part GROUP BY ALL), ar AS (SELECT frame, region, count(*) AS area FROM mk GROUP BY ALL),
 fo AS (SELECT frame, region, point, row, col, z, x, y, CASE WHEN z > 6 THEN 'occluded' WHEN z < 1 THEN 'outside' ELSE 'associated' END AS state FROM points JOIN mk ON frame = scan AND row = floor(x + 0.5) AND col = floor(y + 0.5)),
@@ -284,3 +288,125 @@ def j6_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").select("label", F.col("vec_id").alias("feature"), F.col("embedding").cast("array<double>").alias("vector"))
     again = rows.filter("feature % 7 <> 0").withColumn("vector", F.when(F.col("feature") % 5 == 0, F.transform("vector", lambda x: x + 1)).otherwise(F.col("vector")))
     return feature_report(rows, again, "label", 0.9, 1.1)
+
+
+@query("e6_ranked_neighbours", f"WITH {_SQL_PARTS}, n AS (SELECT a.point AS centre, b.point, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM p a, p b WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9.0), r AS (SELECT centre, point, row_number() OVER (PARTITION BY centre ORDER BY (centre = point) DESC, d2, point)::INT AS rank, count(*) OVER (PARTITION BY centre) AS candidates FROM n) SELECT centre, point, rank, candidates FROM r WHERE rank <= 4")
+def e6_ranked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centre first, then by distance and id, cut to four; how many there were before the cut."""
+    parts = _parts(spark, sf_dir)
+    return neighbourhoods(parts, parts, 3.0, 4, ("x", "y")).select("centre", "point", "rank", "candidates")
+
+
+@query(
+    "g7_frame_tree",
+    """WITH r AS (SELECT r_name AS f, r_regionkey / 5.0 AS a, r_regionkey::DOUBLE AS x FROM region), n AS (SELECT n_name AS f, r_name AS up, n_nationkey / 10.0 AS a, n_nationkey::DOUBLE AS x FROM nation JOIN region ON r_regionkey = n_regionkey),
+t AS (SELECT 'world' AS frame, 0.0 AS a, 0.0 AS tx, 0.0 AS ty UNION ALL SELECT f, a, x, 0 FROM r UNION ALL SELECT n.f, r.a + n.a, r.x + cos(r.a) * n.x, sin(r.a) * n.x FROM n JOIN r ON r.f = n.up)
+SELECT frame, round(sin(a / 2), 6) + 0.0 AS qz, round(cos(a / 2), 6) AS qw, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty FROM t""",
+)
+def g7_frame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions are frames of the world, nations of their region: transforms composed along the tree."""
+    import math
+
+    regions, nations = load(spark, sf_dir, "region", "r_regionkey", "r_name").collect(), load(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").collect()  # tens of frames
+    turn = lambda a, x: ((0.0, 0.0, math.sin(a / 2), math.cos(a / 2)), (float(x), 0.0, 0.0))
+    names = {r["r_regionkey"]: r["r_name"] for r in regions}
+    edges = [("world", r["r_name"], turn(r["r_regionkey"] / 5, r["r_regionkey"])) for r in regions]
+    edges += [(names[n["n_regionkey"]], n["n_name"], turn(n["n_nationkey"] / 10, n["n_nationkey"])) for n in nations]
+    found = FrameGraph(edges).extrinsics(spark, "world")
+    return found.select("frame", (F.round("qz", 6) + F.lit(0.0)).alias("qz"), F.round("qw", 6).alias("qw"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("tx", "ty")])
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    rows = load(spark, sf_dir, "nation", "n_name", "n_regionkey").join(load(spark, sf_dir, "region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).collect()
+    return {"world": [], **{r["r_name"]: ["world"] for r in rows}, **{r["n_name"]: [r["r_name"]] for r in rows}}
+
+
+@query("g8_topological_order", "WITH e AS (SELECT 0 AS level, 'world' AS name UNION ALL SELECT DISTINCT 1, r_name FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 2, n_name FROM nation) SELECT name, row_number() OVER (ORDER BY level, name) - 1 AS position FROM e")
+def g8_topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = topological_order(_hierarchy(spark, sf_dir))
+    return spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "name string, position long")
+
+
+@query("g12_scope", "WITH t AS (SELECT n_name AS name, r_name AS up FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 4 = 0) SELECT name FROM t UNION SELECT up FROM t WHERE up <> (SELECT min(r_name) FROM region) UNION SELECT 'world' FROM t WHERE up <> (SELECT min(r_name) FROM region)")
+def g12_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What some nations need, backwards, when the first region is provided."""
+    needs = _hierarchy(spark, sf_dir)
+    stages = {n: Stage(n, lambda *_: None, {u: Input(u) for u in up}) for n, up in needs.items()}
+    wanted = [r["n_name"] for r in load(spark, sf_dir, "nation", "n_name", "n_nationkey").filter("n_nationkey % 4 = 0").collect()]
+    first = min(up[0] for up in needs.values() if up and up[0] != "world")
+    scope = Plan(stages, tuple(topological_order(needs)), frozenset()).scope(wanted, [first])
+    return spark.createDataFrame([(n,) for n in scope], "name string")
+
+
+@query(
+    "i17_frame_findings",
+    f"""WITH {SQL_POINTS}, f AS (SELECT scan, max(t) - min(t) AS pose_delta, min(t) AS frame_t, count(*) FILTER (z < 3) AS visible, CASE WHEN scan % 3 <> 0 THEN count(*) FILTER (y > 8) END AS c, count(*) FILTER (y > 8 AND z > 4) AS evaluated, count(*) FILTER (y > 8 AND z > 4 AND x > 40) AS invalid, quantile_disc(x, 0.95) FILTER (y > 8 AND z > 4 AND x <= 40) AS p95 FROM points GROUP BY 1)
+SELECT scan, concat_ws(',', CASE WHEN pose_delta > 215000000000000 THEN 'pose_time_delta' END, CASE WHEN greatest(790000000000000 - frame_t, frame_t - 900000000000000, 0) > 400000000000 THEN 'outside_map_window' END, CASE WHEN visible = 0 THEN 'nothing_visible' END,
+  CASE WHEN c IS NOT NULL AND evaluated > invalid AND p95 > 36 THEN 'reprojection_p95' END, CASE WHEN c IS NOT NULL AND evaluated > invalid AND invalid / evaluated > 0.2 THEN 'invalid_rate' END, CASE WHEN c IS NOT NULL AND evaluated > 0 AND evaluated = invalid THEN 'no_reference_projects' END, CASE WHEN c IS NOT NULL AND evaluated = 0 THEN 'reference_not_evaluated' END) AS findings FROM f""",
+)
+def i17_frame_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans as frames; those of a third of the suppliers have no reference."""
+    rows = points(spark, sf_dir)
+    hit = (F.col("y") > 8) & (F.col("z") > 4)
+    frames = rows.groupBy("scan").agg((F.max("t") - F.min("t")).alias("pose_delta"), F.min("t").alias("frame_t"), F.count_if(F.col("z") < 3).alias("visible"), F.count_if(F.col("y") > 8).alias("_c"), F.count_if(hit).alias("evaluated"), F.count_if(hit & (F.col("x") > 40)).alias("invalid"))
+    frames = frames.withColumns({"correspondences": F.when(F.col("scan") % 3 != 0, F.col("_c")), "map_first": F.lit(790_000_000_000_000), "map_last": F.lit(900_000_000_000_000)})
+    p95 = exact_quantiles(rows.filter(hit & (F.col("x") <= 40)), "scan", "x", {"p95": 0.95})
+    found = frame_findings(FrameTolerances(215_000_000_000_000, 400_000_000_000, 36.0, 0.2))
+    return frames.join(p95, "scan", "left").select("scan", F.array_join(F.transform(found, lambda f: f["code"]), ",").alias("findings"))
+
+
+@query(
+    "b21_merge_plausibility",
+    """WITH p AS (SELECT c_nationkey AS grp, min(c_mktsegment) AS c, min(c_mktsegment) <> max(c_mktsegment) AS many, min(epoch_us(o_orderdate)) AS t0, max(epoch_us(o_orderdate)) AS t1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9200 GROUP BY 1),
+a AS (SELECT s_nationkey AS grp, min('AUTOMOBILE') AS c, false AS many, min(epoch_us(l_shipdate)) AS t0, max(epoch_us(l_shipdate)) AS t1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 49 AND l_discount < 0.01 AND l_tax < 0.01 GROUP BY 1)
+SELECT grp, CASE WHEN p.t0 IS NULL OR a.t0 IS NULL THEN 'empty' WHEN p.many OR a.many THEN 'several_clocks' WHEN p.c <> a.c THEN 'different_clocks' WHEN p.t1 < a.t0 OR a.t1 < p.t0 THEN 'disjoint' ELSE 'plausible' END AS verdict FROM p FULL JOIN a USING (grp)""",
+)
+def b21_merge_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and shipments by nation, on the clocks of their market segments."""
+    o, c = load(spark, sf_dir, "orders", "o_custkey", "o_orderdate"), load(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal").filter("c_acctbal > 9200")
+    i, s = load(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax").filter("l_quantity > 49 AND l_discount < 0.01 AND l_tax < 0.01"), load(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    primary = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("grp"), F.col("c_mktsegment").alias("clock"), micros("o_orderdate").alias("t"))
+    auxiliary = i.join(s, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("grp"), F.lit("AUTOMOBILE").alias("clock"), micros("l_shipdate").alias("t"))
+    return clock_plausibility(primary, auxiliary, "grp")
+
+
+@query(
+    "j16_reference_set",
+    """WITH s AS (SELECT o_orderkey AS sample, o_totalprice::VARCHAR AS hash, o_custkey AS grp, ['train', 'test', 'none'][o_orderkey % 3 + 1] AS split FROM orders), b AS (SELECT DISTINCT l_orderkey AS sample, l_partkey AS observation FROM lineitem WHERE l_quantity > 45), d AS (SELECT sample, split FROM s WHERE split <> 'none' UNION SELECT sample, 'test' FROM s WHERE sample % 50 = 0),
+f AS (SELECT 'duplicate_content' AS finding, 'blocker' AS severity, hash AS subject FROM s GROUP BY hash HAVING count(*) > 1 UNION ALL SELECT 'overlapping_splits', 'blocker', sample::VARCHAR FROM d GROUP BY sample HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'straddling_group', 'blocker', grp::VARCHAR FROM d JOIN s USING (sample) GROUP BY grp HAVING count(DISTINCT d.split) > 1
+  UNION ALL SELECT 'observation_in_several_splits', 'blocker', observation::VARCHAR FROM d JOIN b USING (sample) GROUP BY observation HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'shared_observation', 'warning', observation::VARCHAR FROM b GROUP BY observation HAVING count(*) > 1 UNION ALL SELECT 'in_no_split', 'warning', sample::VARCHAR FROM s WHERE sample NOT IN (SELECT sample FROM d) UNION ALL SELECT 'without_annotation', 'warning', sample::VARCHAR FROM s WHERE sample NOT IN (SELECT sample FROM b))
+SELECT finding, severity, count(*)::BIGINT AS n, min(subject) AS first FROM f GROUP BY ALL""",
+)
+def j16_reference_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples, customers as groups, parts as observations; some samples are in two splits, some in none."""
+    rows = load(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_custkey")
+    k = F.col("o_orderkey")
+    samples = rows.select(k.alias("sample"), F.col("o_totalprice").cast("string").alias("hash"), F.col("o_custkey").alias("grp"))
+    observations = load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity").filter("l_quantity > 45").select(F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("observation"))
+    of = lambda df, name: df.select(F.lit("one").alias("scheme"), F.lit(name).alias("split"), k.alias("sample"))
+    splits = of(rows.filter("o_orderkey % 3 = 0"), "train").unionByName(of(rows.filter("o_orderkey % 3 = 1 OR o_orderkey % 50 = 0"), "test"))
+    found = reference_integrity(samples, observations, splits, observations.select("sample").distinct())
+    return found.groupBy("finding", "severity").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
+
+
+@query(
+    "j16_annotation_problems",
+    """WITH a AS (SELECT p_partkey, p_size * 10 AS x1, p_size * 8 AS y1, CASE WHEN p_size < 4 THEN 40 ELSE 5 END AS x0, CASE WHEN p_retailprice > 990 THEN -1 ELSE 0 END AS y0, p_size * p_size * 60 AS area, ['visible', 'partial', 'invisible'][p_size % 3 + 1] AS level, (p_size % 5) / 4.0 AS o FROM part)
+SELECT p_partkey, concat_ws(',', CASE WHEN x1 <= x0 OR y1 <= y0 THEN 'empty_box' END, CASE WHEN x0 < 0 OR y0 < 0 OR x1 > 480 OR y1 > 400 THEN 'outside_image' END, CASE WHEN area > (x1 - x0) * (y1 - y0) THEN 'mask_larger_than_box' END, CASE WHEN level = 'visible' AND o > 0 OR level = 'invisible' AND o < 1 OR level = 'partial' AND (o <= 0 OR o >= 1) THEN 'visibility' END) AS problems FROM a""",
+)
+def j16_annotation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    level = F.array(*map(F.lit, ("visible", "partial", "invisible")))[size % 3]
+    found = annotation_problems(F.lit(480), F.lit(400), F.when(size < 4, 40).otherwise(5), F.when(F.col("p_retailprice") > 990, -1).otherwise(0), size * 10, size * 8, size * size * 60, level, (size % 5) / 4.0)
+    return load(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").select("p_partkey", F.array_join(found, ",").alias("problems"))
+
+
+@query(
+    "j8_pooled_strata",
+    f"""WITH {SQL_POINTS}, s AS (SELECT (x >= 10)::INT + (x >= 25)::INT + (x >= 40)::INT AS band, abs(y - z) AS r FROM points) SELECT band, count(*)::BIGINT AS n, round(avg(r), 6) AS mean, round(median(r), 6) AS median, quantile_disc(r, 0.95) AS p95 FROM s GROUP BY 1""",
+)
+def j8_pooled_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals pooled by band of range."""
+    rows = points(spark, sf_dir).select(banded(F.col("x"), [10.0, 25.0, 40.0]).alias("band"), F.abs(F.col("y") - F.col("z")).alias("r"))
+    ranks = exact_quantiles(rows, "band", "r", {"p95": 0.95}, {"median": 0.5}).withColumn("median", F.round("median", 6))
+    return rows.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean")).join(ranks, "band")
