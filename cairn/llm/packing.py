@@ -5,8 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +38,14 @@ class Encoder:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         known = {token: rank for token, rank in known.items() if rank not in special.values()}
         whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens=special)
-        self.encode: Callable[[str], list[int]] = partial(whole.encode, allowed_special="all") if special else whole.encode_ordinary
+        self.plain, self.whole, self.special = whole.encode_ordinary, whole, tuple(special)
         self.words: dict[str, bytes] = {}
 
+    def encode(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.whole.encode(text, allowed_special="all")
+        return self.plain(text)
+
     def __call__(self, text: str) -> bytes:
         parts = text.split(" ")
         if not parts[0] or not parts[-1] or any(x in text for x in _RUNS) or any(c in text for c in _OTHER_SPACE):
