@@ -41,7 +41,7 @@ def build_observations(regions: DataFrame, claims: DataFrame, features: DataFram
 def merge_regions(regions: DataFrame, iou: float, containment: float) -> DataFrame:
     """(frame, region, kept): in the order of their ids each region (frame, region, min_x, min_y, max_x, max_y) joins the first representative
     before it with which it has an intersection over union of ``iou``, or of which, or in which, it is contained by ``containment``;
-    else it stands for itself. What is first depends on what stood before, so a frame's regions are one task's, as an array."""
+    else it stands for itself, as does a region without a whole box. What is first depends on what stood before, so a frame's regions are one task's, as an array."""
     import numpy as np
     import pandas as pd
 
@@ -49,7 +49,7 @@ def merge_regions(regions: DataFrame, iou: float, containment: float) -> DataFra
         for rows in batches:
             out = []
             for frame, own in zip(rows["frame"], rows["regions"], strict=True):
-                boxes = np.array([[r["min_x"], r["min_y"], r["max_x"], r["max_y"]] for r in own])
+                boxes = np.array([[r["min_x"], r["min_y"], r["max_x"], r["max_y"]] for r in own], float)
                 size = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
                 stand: list[int] = []
                 for i, r in enumerate(own):
@@ -64,7 +64,7 @@ def merge_regions(regions: DataFrame, iou: float, containment: float) -> DataFra
                     if kept == i:
                         stand.append(i)
                     out.append((frame, r["region"], own[kept]["region"]))
-            yield pd.DataFrame(out, columns=["frame", "region", "kept"])
+            yield pd.DataFrame(out, columns=["frame", "region", "kept"]).astype("Int64")
 
     each = F.struct("region", "min_x", "min_y", "max_x", "max_y")
     grouped = regions.groupBy("frame").agg(F.array_sort(F.collect_list(each)).alias("regions"))

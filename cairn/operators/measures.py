@@ -181,7 +181,7 @@ def sync_offsets(matched: DataFrame, modality: str) -> DataFrame:
 
 def evidence_by_run(results: DataFrame) -> DataFrame:
     """(observation, runs, problem): the results (observation, sequence, run, result) of each observation by run, a map; a run that has two for one,
-    or results of different sequences, is a problem."""
-    own = results.groupBy("observation", "run").agg(F.count("*").alias("_n"), F.min("result").alias("result"), F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"))
+    or results of different sequences, is a problem. Results without a run are one run's, with an empty name."""
+    own = results.groupBy("observation", F.coalesce("run", F.lit("")).alias("run")).agg(F.count("*").alias("_n"), F.min("result").alias("result"), F.min("sequence").alias("_lo"), F.max("sequence").alias("_hi"))
     problem = F.when(F.min("_lo") != F.max("_hi"), "several_sequences").when(F.max("_n") > 1, "several_results")
     return own.groupBy("observation").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", "result")))).alias("runs"), problem.alias("problem"))

@@ -307,17 +307,18 @@ def g7_frame_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions are frames of the world, nations of their region: transforms composed along the tree."""
     import math
 
-    regions, nations = load(spark, sf_dir, "region", "r_regionkey", "r_name").collect(), load(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").collect()  # tens of frames
+    regions = load(spark, sf_dir, "region", "r_regionkey", "r_name").dropna().distinct().collect()  # tens of frames
+    nations = load(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").dropna().distinct().collect()
     turn = lambda a, x: ((0.0, 0.0, math.sin(a / 2), math.cos(a / 2)), (float(x), 0.0, 0.0))
     names = {r["r_regionkey"]: r["r_name"] for r in regions}
     edges = [("world", r["r_name"], turn(r["r_regionkey"] / 5, r["r_regionkey"])) for r in regions]
-    edges += [(names[n["n_regionkey"]], n["n_name"], turn(n["n_nationkey"] / 10, n["n_nationkey"])) for n in nations]
+    edges += [(names[n["n_regionkey"]], n["n_name"], turn(n["n_nationkey"] / 10, n["n_nationkey"])) for n in nations if n["n_regionkey"] in names]
     found = FrameGraph(edges).extrinsics(spark, "world")
     return found.select("frame", (F.round("qz", 6) + F.lit(0.0)).alias("qz"), F.round("qw", 6).alias("qw"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("tx", "ty")])
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    rows = load(spark, sf_dir, "nation", "n_name", "n_regionkey").join(load(spark, sf_dir, "region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).collect()
+    rows = load(spark, sf_dir, "nation", "n_name", "n_regionkey").join(load(spark, sf_dir, "region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")).dropna().distinct().collect()
     return {"world": [], **{r["r_name"]: ["world"] for r in rows}, **{r["n_name"]: [r["r_name"]] for r in rows}}
 
 
@@ -333,8 +334,8 @@ def g12_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs = _hierarchy(spark, sf_dir)
     stages = {n: Stage(n, lambda *_: None, {u: Input(u) for u in up}) for n, up in needs.items()}
     wanted = [r["n_name"] for r in load(spark, sf_dir, "nation", "n_name", "n_nationkey").filter("n_nationkey % 4 = 0").collect()]
-    first = min(up[0] for up in needs.values() if up and up[0] != "world")
-    scope = Plan(stages, tuple(topological_order(needs)), frozenset()).scope(wanted, [first])
+    first = min((up[0] for up in needs.values() if up and up[0] != "world"), default="")
+    scope = Plan(stages, tuple(topological_order(needs)), frozenset()).scope([n for n in wanted if n in needs], [first])
     return spark.createDataFrame([(n,) for n in scope], "name string")
 
 

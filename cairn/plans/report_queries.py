@@ -185,7 +185,7 @@ def j19_report_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "supplier", "s_nationkey", "s_acctbal")
     names = F.array(*map(F.lit, ("state.ate.rmse", "region.iou.mean", "entity.duplicate.rate", "runtime.wall_time", "no.such.metric")))
     n = F.col("s_nationkey")
-    report = rows.select(names[(n % 5).cast("int")].alias("metric"), F.when(n < 12, "entity_resolution").otherwise("state_estimation").alias("stage"), F.when(n % 2 == 0, "ratio").otherwise("meters").alias("unit"), (F.col("s_acctbal") / 5000).alias("value"))
+    report = rows.select(F.get(names, (n % 5).cast("int")).alias("metric"), F.when(n < 12, "entity_resolution").otherwise("state_estimation").alias("stage"), F.when(n % 2 == 0, "ratio").otherwise("meters").alias("unit"), (F.col("s_acctbal") / 5000).alias("value"))
     return report_problems(report, metric_registry(spark)).groupBy("metric", "problem").agg(F.count("*").alias("n"))
 
 

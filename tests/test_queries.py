@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.plans import registry
 
@@ -53,3 +54,33 @@ def test_entry_imports_without_optional_parts(monkeypatch):
 
     monkeypatch.setattr(__spark_entry__, "_llm", lambda: (None, None))
     assert set(__spark_entry__.queries()) == set(registry.queries())
+
+
+def _tables(spark, folder, change):
+    for t in TABLES:
+        change(spark.read.parquet(f"{SF}/{t}.parquet")).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+    return str(folder)
+
+
+def _awkward(df):
+    """Some rows, a few of them repeated, two of nulls only, and one with nothing but its key."""
+    some = df.limit(400)
+    null = df.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    bare = df.limit(1).select(df.columns[0], *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields[1:]])
+    return some.unionByName(some.limit(20)).unionByName(null).unionByName(null).unionByName(bare)
+
+
+def test_empty_tables_give_results(spark, tmp_path):
+    folder = _tables(spark, tmp_path, lambda df: df.limit(0))
+    for name, run in registry.queries().items():
+        assert run(spark, folder).count() >= 0, name
+
+
+def test_nulls_and_repeated_rows_give_results(spark, tmp_path):
+    folder = _tables(spark, tmp_path, _awkward)
+    for name, run in registry.queries().items():
+        if name == "b1_id_selection":  # ids that are not there are an error, which is what it is for
+            with pytest.raises(ValueError):
+                run(spark, folder)
+        else:
+            assert run(spark, folder).count() >= 0, name
