@@ -177,7 +177,7 @@ def test_overlaps_equal_all_pairs_with_a_member_in_every_set(spark, least):
     sets = {i: {0, *rng.sample(sorted(base[i % 6]), rng.randint(5, 8)), 100 + i % 4} for i in range(40)}
     members = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s] * 2, "set long, member long")
     expect = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
-    assert {(r["a"], r["b"]): r["shared"] for r in overlaps(members, least).collect()} == expect and expect
+    assert {(r["a"], r["b"]): r["shared"] for r in overlaps(members, least, 7).collect()} == expect and expect
 
 
 def test_unfinished_components_are_an_error_and_paths_are_shortest(spark):
