@@ -115,6 +115,26 @@ def test_radius_join_within_groups(spark):
     assert rows(within_radius(df, df, 1.0, group="entity").filter("centre < point"), "centre", "point") == [(1, 2)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_joins_and_components_are_never_broadcast(spark):
+    """What a few cells or ids are before they are dealt out says nothing of what they are after."""
+    df = spark.range(40).selectExpr("id AS point", "id % 2 AS entity", "id / 9D AS x", "0D AS y", "0D AS z")
+    found = within_radius(df, df, 1.0, group="entity")
+    assert "Broadcast" not in plan_of(found) and "Broadcast" not in plan_of(within_radius(df, df, 1.0))
+    assert "Broadcast" not in plan_of(components(df.select(F.col("point").alias("node")), found.selectExpr("centre AS a", "point AS b")))
+
+
+def test_radius_join_within_small_and_large_groups(spark):
+    """A group of at most 27 points is one cell, larger ones have cells."""
+    points = [(g, g * 1000 + i, *p[1:]) for g, n in ((1, 27), (2, 28), (3, 90)) for i, p in enumerate(cloud(n, g))]
+    df = spark.createDataFrame(points, f"entity long, point long, {XYZ}")
+    expect = sorted((p[1], q[1]) for p in points for q in points if p[0] == q[0] and far(p[1:], q[1:]) <= 2.0)
+    assert rows(within_radius(df, df, 2.0, group="entity"), "centre", "point") == expect
+
+
 def some_boxes(seed, n=40, large=2):
     rng = random.Random(seed)
     out = []
