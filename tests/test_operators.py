@@ -14,7 +14,7 @@ from cairn.operators import assembly, channels, evaluation, graphs, grids, momen
 from cairn.operators.evidence import materialize
 from cairn.operators.frames import FrameGraph, compose, invert
 from cairn.operators.graphs import components, overlaps
-from cairn.operators.spatial_joins import box_pairs, contact_pairs, entity_candidates, interval_pairs, min_filter, nearest_k, neighbourhoods, within_radius
+from cairn.operators.spatial_joins import box_pairs, contact_pairs, entity_candidates, interval_pairs, min_filter, nearest_k, neighbourhoods, radius_components, within_radius
 from cairn.operators.time_joins import interpolated, nearest_record, nearest_within, neighbours_in_time, select_ids, selection_identity, unmatched
 from cairn.operators.voxel import inter_scan_voxels
 
@@ -135,6 +135,48 @@ def test_radius_join_within_small_and_large_groups(spark):
     assert rows(within_radius(df, df, 2.0, group="entity"), "centre", "point") == expect
 
 
+def met_by(run, at="cairn.operators.spatial_joins.within_radius"):
+    """What ``run()`` returns, and how many centres and points its radius joins were given at most."""
+    seen = []
+    with mock.patch(at, side_effect=lambda c, p, *a, **b: (seen.append((c.count(), p.count())), within_radius(c, p, *a, **b))[1]):
+        out = run()
+    return out, max(c for c, _ in seen), max(p for _, p in seen)
+
+
+def copies(spark, n=300):
+    """Points 0 to n - 1 at one place, n to n + 3 at others."""
+    return spark.range(n + 4).selectExpr("id AS point", f"greatest(0, id - {n} + 1) * 1D AS x", "0D AS y", "0D AS z")
+
+
+def test_nearest_of_many_copies_are_found_once(spark):
+    df = copies(spark)
+    got, centres, points = met_by(lambda: rows(nearest_k(df, df, 3, 1.0), "centre", "rank", "point"))
+    assert centres == 5 and points == 7
+    assert got[:3] == [(0, 1, 0), (0, 2, 1), (0, 3, 2)] and got[-3:] == [(303, 1, 303), (303, 2, 302), (303, 3, 301)] and len(got) == 304 * 3
+
+
+def test_neighbourhoods_of_many_copies_are_found_once(spark):
+    df = copies(spark)
+    got, centres, points = met_by(lambda: rows(neighbourhoods(df, df, 1.0, 3), "centre", "rank", "point", "candidates"))
+    assert centres == 5 and points == 5
+    assert [r for r in got if r[0] == 7] == [(7, 1, 7, 301), (7, 2, 0, 301), (7, 3, 1, 301)] and [r for r in got if r[0] == 300] == [(300, 1, 300, 302), (300, 2, 0, 302), (300, 3, 1, 302)]
+
+
+def test_components_of_many_copies_link_places(spark):
+    nan = spark.createDataFrame([(900, float("nan"), 0.0, 0.0), (901, float("nan"), 0.0, 0.0)], f"point long, {XYZ}")
+    got, centres, points = met_by(lambda: dict(rows(radius_components(copies(spark).filter("point <> 301").unionByName(nan), 1.0), "node", "component")))
+    assert centres == points == 4
+    assert got == {**dict.fromkeys([*range(301)], 0), 302: 302, 303: 302, 900: 900, 901: 901}
+
+
+def test_contacts_join_places(spark, tmp_path):
+    from cairn.plans import shape_queries
+
+    spark.range(200).selectExpr("id AS p_partkey", "concat('b', id % 2) AS p_brand", "1 AS p_size", "900D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got, centres, points = met_by(lambda: rows(shape_queries.c17_contacts(spark, str(tmp_path)), "a", "b", "nearest", "pairs", "contacts_a", "contacts_b"), "cairn.plans.shape_queries.within_radius")
+    assert centres == points == 1 and got == [("b0", "b1", 0.0, 10_000, 100, 100)]
+
+
 def some_boxes(seed, n=40, large=2):
     rng = random.Random(seed)
     out = []
