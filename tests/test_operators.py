@@ -169,6 +169,15 @@ def test_components_of_many_copies_link_places(spark):
     assert got == {**dict.fromkeys([*range(301)], 0), 302: 302, 303: 302, 900: 900, 901: 901}
 
 
+def test_components_in_one_task_equal_those_in_rounds(spark):
+    nodes = spark.range(40).selectExpr("id AS node")
+    edges = spark.range(0, 36).filter("id % 9 <> 8").selectExpr("id + 1 AS a", "id AS b").unionByName(spark.range(77, 78).selectExpr("id AS a", "0L AS b"))
+    with mock.patch.object(graphs, "ONE_TASK", -1):
+        expect = rows(components(nodes, edges), "node", "component")
+    with mock.patch.object(graphs, "ONE_TASK", 10**6):
+        assert rows(components(nodes, edges, rounds=0), "node", "component") == expect == [(i, i // 9 * 9 if i < 36 else i) for i in range(40)]
+
+
 def test_contacts_join_places(spark, tmp_path):
     from cairn.plans import shape_queries
 
