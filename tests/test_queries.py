@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
@@ -124,3 +125,10 @@ def test_planes_through_a_line_are_as_in_sql(spark, tmp_path):
     lines = [[(40, 934.0, 9)], [(42, 935.0, 8), (36, 934.8, 8), (30, 934.6, 8), (27, 934.5, 8)], [(3, 982.9, 9)], [(8, 983.4, 10), (8, 983.6, 10), (8, 983.7, 10), (8, 983.9, 10)]]
     mine, sql = _on_parts(spark, tmp_path, "j3_plane_residuals", [(8 * (e + e // 2) + i, *p) for e, line in enumerate(lines) for i, p in enumerate(line)])
     assert mine == sql and len(sql) == 2
+
+
+def test_a_tilt_needs_no_distinct_third_axis(spark, tmp_path):
+    rng = random.Random(8)
+    parts = [(k, rng.randint(0, 9), 900 + rng.randint(0, 3), 8 + rng.randint(0, 3)) for k in range(8 * 40)] + [(8 * 50, 3, 901, 9), (8 * 50 + 1, 5, 902, 11)]
+    mine, sql = _on_parts(spark, tmp_path, "i13_contact_evidence", parts)
+    assert mine == sql and any("unavailable" in r for r in sql)
