@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.operators.graphs import shortest_steps
 from cairn.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +133,36 @@ def test_a_tilt_needs_no_distinct_third_axis(spark, tmp_path):
     parts = [(k, rng.randint(0, 9), 900 + rng.randint(0, 3), 8 + rng.randint(0, 3)) for k in range(8 * 40)] + [(8 * 50, 3, 901, 9), (8 * 50 + 1, 5, 902, 11)]
     mine, sql = _on_parts(spark, tmp_path, "i13_contact_evidence", parts)
     assert mine == sql and any("unavailable" in r for r in sql)
+
+
+def test_resolution_needs_no_paths_and_long_chains_are_whole(spark, tmp_path):
+    keys = [0, *range(200, 289), 12]
+    mine, sql = _on_parts(spark, tmp_path, "g6_whole_resolution", [(k, 1, 900 + i, 9) for i, k in enumerate(keys)] + [(500, 1, 900, 9)])
+    assert mine == sql and len(sql) == 92
+
+
+def test_long_chains_do_not_fail_and_short_ones_are_counted(spark, tmp_path):
+    keys = [0, *range(200, 289), 12]
+    mine, sql = _on_parts(spark, tmp_path, "g5_contradiction_paths", [(k, 1, 900 + i, 9) for i, k in enumerate(keys)] + [(300, 3, 900, 9), (312, 3, 900, 9)])
+    assert mine == sql and ("300", "312", "300", "1") in sql
+
+
+def test_steps_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    edges = {(a, b) for a, b in ((rng.randrange(700), rng.randrange(700)) for _ in range(900)) if a < b} | {(1000 + i, 1001 + i) for i in range(80)}
+    ends = [(a, b) for a in range(600) for b in (rng.randrange(700), 1050)] + [(1000, 1080), (1080, 1003)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def steps(a, b):
+        seen, front, n = {a}, {a}, 0
+        while front and b not in front:
+            front, n = {w for u in front for w in near.get(u, ())} - seen, n + 1
+            seen |= front
+        return n if front else None
+
+    expect = {(a, b): steps(a, b) for a, b in ends if a in near and b in near}
+    found = shortest_steps(spark.createDataFrame(sorted(edges), "a long, b long"), spark.createDataFrame(ends, "a long, b long"))
+    assert {(r["a"], r["b"]): r["steps"] for r in found.collect()} == {k: n for k, n in expect.items() if n is not None}
