@@ -216,6 +216,12 @@ def test_wide_boxes_meet_in_slots_with_their_bounds(spark):
     assert "Broadcast" not in plan_of(found)
 
 
+def test_wide_entities_meet_in_slots_of_the_other_axis(spark):
+    df = spark.range(40).selectExpr("id AS entity", "id % 1 AS map", "id % 1 AS frame", "20D AS cx", "id * 2D AS cy", "0D AS cz", "0D AS min_x", "40D AS max_x", "id * 2D AS min_y", "id * 2D AS max_y", "0D AS min_z", "0D AS max_z", "0 AS first_t", "0 AS last_t")
+    found = entity_candidates(df, 3.0, 0.05)
+    assert rows(found, "a", "b") == [(i, i + 1) for i in range(39)] and "Broadcast" not in plan_of(found)
+
+
 def test_entity_candidates_equal_all_pairs_also_of_large_boxes(spark):
     rng = random.Random(4)
     boxes = some_boxes(3)
