@@ -14,7 +14,7 @@ from cairn.operators import assembly, channels, evaluation, graphs, grids, momen
 from cairn.operators.evidence import materialize
 from cairn.operators.frames import FrameGraph, compose, invert
 from cairn.operators.graphs import components, overlaps
-from cairn.operators.spatial_joins import box_pairs, contact_pairs, entity_candidates, interval_pairs, min_filter, nearest_k, neighbourhoods, radius_components, within_radius
+from cairn.operators.spatial_joins import box_pairs, contact_pairs, dealt, entity_candidates, gathered, interval_pairs, min_filter, nearest_k, neighbourhoods, radius_components, within_radius
 from cairn.operators.time_joins import interpolated, nearest_record, nearest_within, neighbours_in_time, select_ids, selection_identity, unmatched
 from cairn.operators.voxel import inter_scan_voxels
 
@@ -186,6 +186,21 @@ def test_contacts_join_places(spark, tmp_path):
     assert centres == points == 1 and got == [("b0", "b1", 0.0, 10_000, 100, 100)]
 
 
+def test_radius_neighbours_join_places(spark, tmp_path):
+    from cairn.plans import spatial_queries
+
+    spark.range(600).selectExpr("id AS p_partkey", "CAST(id % 2 AS INT) AS p_size", "900D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    got, centres, points = met_by(lambda: rows(spatial_queries.c11_radius_neighbours(spark, str(tmp_path)), "centre", "point", "d2"), "cairn.plans.spatial_queries.within_radius")
+    assert centres == points == 2 and got == [(a, b, float((a - b) % 2)) for a in range(600) for b in range(600)]
+
+
+def test_gathered_rows_are_dealt_with_all_their_keys(spark):
+    df = spark.createDataFrame([(k, 1.0) for k in (5, 3, 3, None, 1)] + [(7, 2.0), (8, None)], "k long, x double")
+    found = gathered(df, "k", most=2)
+    assert sorted((r["k"] for r in found.filter("x = 1").collect()), key=str) == [[1, 3], [3, 5], [None]]
+    assert sorted(map(str, dealt(found, "k").collect())) == sorted(map(str, df.collect()))
+
+
 def some_boxes(seed, n=40, large=2):
     rng = random.Random(seed)
     out = []
