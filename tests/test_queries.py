@@ -4,12 +4,14 @@ import datetime
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
+from unittest import mock
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators.graphs import shortest_steps
+from cairn.operators.spatial_joins import interval_pairs
 from cairn.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -135,6 +137,17 @@ def test_a_tilt_needs_no_distinct_third_axis(spark, tmp_path):
     assert mine == sql and any("unavailable" in r for r in sql)
 
 
+@pytest.mark.parametrize("name", ["c16_relation_candidates"])
+def test_relations_of_equal_boxes_are_found_once(spark, tmp_path, name):
+    """Twelve entities with one box, five with another that is inside it, and one of a single part."""
+    place = lambda e, i: (10 + 2 * i, 900 + i, 9 + i % 5) if e < 12 else (13 + i, 902 + i % 4, 10 + i % 2)
+    parts = [(8 * e + i, *place(e, i)) for e in range(17) for i in range(8)] + [(8 * 17, 11, 908.5, 13)]
+    met = []
+    with mock.patch("cairn.plans.relation_queries.interval_pairs", side_effect=lambda boxes, *a, **b: (met.append(boxes.count()), interval_pairs(boxes, *a, **b))[1]):
+        mine, sql = _on_parts(spark, tmp_path, name, parts)
+    assert mine == sql and len(sql) >= 17 * 16 * 5 and met == [3]
+
+
 def test_resolution_needs_no_paths_and_long_chains_are_whole(spark, tmp_path):
     keys = [0, *range(200, 289), 12]
     mine, sql = _on_parts(spark, tmp_path, "g6_whole_resolution", [(k, 1, 900 + i, 9) for i, k in enumerate(keys)] + [(500, 1, 900, 9)])
