@@ -137,7 +137,7 @@ def test_a_tilt_needs_no_distinct_third_axis(spark, tmp_path):
     assert mine == sql and any("unavailable" in r for r in sql)
 
 
-@pytest.mark.parametrize("name", ["c16_relation_candidates", "i12_geometric_evidence"])
+@pytest.mark.parametrize("name", ["c16_relation_candidates", "i12_geometric_evidence", "i16_decided_relations"])
 def test_relations_of_equal_boxes_are_found_once(spark, tmp_path, name):
     """Twelve entities with one box, five with another that is inside it, and one of a single part."""
     place = lambda e, i: (10 + 2 * i, 900 + i, 9 + i % 5) if e < 12 else (13 + i, 902 + i % 4, 10 + i % 2)
