@@ -178,6 +178,27 @@ def test_components_in_one_task_equal_those_in_rounds(spark):
         assert rows(components(nodes, edges, rounds=0), "node", "component") == expect == [(i, i // 9 * 9 if i < 36 else i) for i in range(40)]
 
 
+def test_dense_components_are_joined_without_rounds(spark):
+    """More edges than one task joins, but few nodes: each task gives on a forest, and no round is needed."""
+    edges = spark.range(0, 4000, numPartitions=4).selectExpr("id % 40 AS a", "40 + id % 37 AS b").unionByName(spark.range(200, 300).selectExpr("id AS a", "id + 1 AS b"))
+    with mock.patch.object(graphs, "ONE_TASK", 400), mock.patch.object(graphs, "_in_rounds", side_effect=AssertionError):
+        got = dict(rows(components(spark.range(310).selectExpr("id AS node"), edges), "node", "component"))
+    assert got == {i: 0 if i < 77 else 200 if 200 <= i <= 300 else i for i in range(310)}
+
+
+@pytest.mark.parametrize(("one_task", "most_nodes"), [(3, 5), (1, 2), (60, 3), (500, 10**6)])
+def test_forests_of_any_size_link_what_edges_link(spark, one_task, most_nodes):
+    rng = random.Random(one_task)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    expect = {i: i for i in range(140)}
+    for _ in range(140):
+        for a, b in pairs:
+            expect[a] = expect[b] = min(expect[a], expect[b])
+    with mock.patch.object(graphs, "ONE_TASK", one_task), mock.patch.object(graphs, "MOST_NODES", most_nodes):
+        edges = spark.createDataFrame([*pairs, (3, None), (7, 500)], "a long, b long").repartition(3)
+        assert dict(rows(components(spark.range(140).selectExpr("id AS node"), edges), "node", "component")) == expect
+
+
 def test_contacts_join_places(spark, tmp_path):
     from cairn.plans import shape_queries
 
