@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators.graphs import shortest_steps
+from cairn.operators.graphs import cut, shortest_steps
 from cairn.operators.spatial_joins import interval_pairs
 from cairn.plans import registry
 
@@ -154,6 +154,14 @@ def test_resolution_needs_no_paths_and_long_chains_are_whole(spark, tmp_path):
     assert mine == sql and len(sql) == 92
 
 
+def test_resolution_of_dense_places_takes_no_rounds(spark, tmp_path):
+    """More links than one task joins, of few places: cuts of the lineage do not grow with the rounds that labels would take."""
+    cuts = []
+    with mock.patch("cairn.operators.graphs.ONE_TASK", 100), mock.patch("cairn.operators.graphs.cut", side_effect=lambda df: (cuts.append(1), cut(df))[1]):
+        mine, sql = _on_parts(spark, tmp_path, "g6_whole_resolution", [(k, 1, 900 + 0.1 * k, 9) for k in range(90)] + [(200 + k, 3, 900 + 0.5 * k, 9) for k in range(10)])
+    assert mine == sql and len(sql) == 91 and len(cuts) <= 3
+
+
 def test_long_chains_do_not_fail_and_short_ones_are_counted(spark, tmp_path):
     keys = [0, *range(200, 289), 12]
     mine, sql = _on_parts(spark, tmp_path, "g5_contradiction_paths", [(k, 1, 900 + i, 9) for i, k in enumerate(keys)] + [(300, 3, 900, 9), (312, 3, 900, 9)])
