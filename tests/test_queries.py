@@ -187,3 +187,13 @@ def test_steps_equal_a_plain_search(spark):
     expect = {(a, b): steps(a, b) for a, b in ends if a in near and b in near}
     found = shortest_steps(spark.createDataFrame(sorted(edges), "a long, b long"), spark.createDataFrame(ends, "a long, b long"))
     assert {(r["a"], r["b"]): r["steps"] for r in found.collect()} == {k: n for k, n in expect.items() if n is not None}
+
+
+def test_steps_end_at_the_most_and_hubs_are_whole(spark):
+    """A hub with more neighbours than are taken by turns, a chain behind it, and edges repeated both ways."""
+    hub = [(0, i) for i in range(1, 150)] + [(149, 1000)] + [(1000 + i, 1001 + i) for i in range(20)]
+    edges = spark.createDataFrame([*hub, *[(b, a) for a, b in hub[:9]], (5, None)], "a long, b long")
+    ends = [(1, 2), (3, 1000), (3, 1003), (1005, 7), (1, 1020), (8, 8), (4, 5000)]
+    got = {m: {(r["a"], r["b"]): r["steps"] for r in shortest_steps(edges, spark.createDataFrame(ends, "a long, b long"), m).collect()} for m in (None, 6)}
+    assert got[None] == {(1, 2): 2, (3, 1000): 3, (3, 1003): 6, (1005, 7): 8, (1, 1020): 23, (8, 8): 0}
+    assert got[6] == {k: n for k, n in got[None].items() if n <= 6}
