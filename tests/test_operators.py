@@ -340,6 +340,35 @@ def test_semantic_channel_cases(spark):
     assert got == {("p", "q"): ("supports", "neutral", "supports"), ("r", "s"): ("neutral", None, "neutral"), ("p", "r"): ("conflicts", "conflicts", "conflicts"), ("p", "u"): ("neutral", None, "neutral"), ("p", "v"): (None, None, "unavailable"), ("r", "t"): ("conflicts", "neutral", "conflicts")}
 
 
+def test_semantic_channel_equals_a_plain_loop(spark):
+    """Refinements by several words, values that are null or several, entities without labels, attributes or either."""
+    rng = random.Random(2)
+    labels = [(e, " ".join([*rng.sample(["red", "old", "red"], rng.randint(0, 2)), rng.choice(["bolt", "old bolt", "gear", "red"])])) for e in range(24) for _ in range(rng.randint(0, 2))]
+    states = [(e, rng.choice(["unambiguous", "ambiguous"])) for e in range(22)]
+    values = [(e, rng.choice("pq"), rng.choice(["X", "x ", "y", None])) for e in range(2, 26) for _ in range(rng.randint(0, 3))]
+    pairs = [(a, b) for a in range(27) for b in range(a + 1, 27)]
+
+    def refines(a, b):
+        x, y = a.split(), b.split()
+        return len(x) > len(y) and x[-len(y) :] == y and set(x[: -len(y)]) <= {"red", "old"}
+
+    def expect(a, b):
+        la, lb, label, attribute = [x for e, x in labels if e == a], [x for e, x in labels if e == b], None, None
+        va, vb = [{(n, v.strip().lower()) for e, n, v in values if e == x and v} for x in (a, b)]
+        if la and lb:
+            alike = any(x == y or refines(x, y) or refines(y, x) for x in la for y in lb)
+            settled = dict(states).get(a) == dict(states).get(b) == "unambiguous"
+            label = "supports" if alike else "neutral" if any({x, y} == {"bolt", "gear"} for x in la for y in lb) else "conflicts" if settled else "neutral"
+            differ = [v != w for n, v in va for m, w in vb if n == m]
+            attribute = None if not differ else "conflicts" if any(differ) else "neutral"
+        found = {label, attribute} - {None}
+        return label, attribute, "unavailable" if not found else "conflicts" if "conflicts" in found else "supports" if "supports" in found else "neutral"
+
+    frame = spark.createDataFrame
+    got = channels.semantic_channel(frame(pairs, "a long, b long"), frame(labels, "entity long, label string"), frame(states, "entity long, state string"), frame(values, "entity long, name string, value string"), ["red", "old"], [("bolt", "gear")])
+    assert {(r["a"], r["b"]): tuple(r)[2:] for r in got.collect()} == {p: expect(*p) for p in pairs}
+
+
 def test_similarity_reasons_and_undefined_components(spark):
     features = spark.createDataFrame([("a", 1, "s", [1.0, 0.0]), ("a", 1, "s", [0.0, 1.0]), ("a", 2, "s", [0.0, 2.0]), ("b", 3, "s", [0.0, 1.0]), ("c", 4, "o", [1.0, 0.0]), ("d", 5, "s", [0.0, 0.0]), ("e", 6, "s", [None, 1.0]), ("f", 7, "s", [0.0, -1.0])], "entity string, observation long, space string, vector array<double>")
     pairs = spark.createDataFrame([("a", x) for x in "bcdfz"] + [("c", "z")], "a string, b string")

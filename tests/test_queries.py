@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators.graphs import cut, shortest_steps
-from cairn.operators.spatial_joins import interval_pairs
+from cairn.operators.spatial_joins import entity_candidates, interval_pairs
 from cairn.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +148,21 @@ def test_relations_of_equal_boxes_are_found_once(spark, tmp_path, name):
     assert mine == sql and len(sql) >= 17 * 16 * 5 and met == [3]
 
 
+def test_alike_entities_are_compared_once(spark, tmp_path):
+    """Ten entities that differ in nothing but their number, in three kinds, met as three."""
+    kinds = [(8 * e + i, f"{'red' if e % 3 else 'blue'} bolt{i % (2 + e % 3)}", f"Brand#{i % 2}", f"T{i % (1 + e % 3)}", 11 + i, 900.0 + i / 10) for e in range(10) for i in range(8)]
+    spark.createDataFrame(kinds, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    items = [(k[0], datetime.datetime(1995, 1, 1 + k[0] % 8)) for k in kinds]
+    spark.createDataFrame(items, "l_partkey long, l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con, met = duckdb.connect(), []
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    with mock.patch("cairn.plans.entity_queries.entity_candidates", side_effect=lambda entities, *a, **b: (met.append(entities.count()), entity_candidates(entities, *a, **b))[1]):
+        mine = registry.queries()["i3_semantic_channel"](spark, str(tmp_path)).collect()
+    sql = con.execute(f"SELECT a, b, label_finding, attribute_finding, status FROM ({registry.oracle_sql()['i3_semantic_channel']})").fetchall()
+    assert sorted(tuple(map(plain, r)) for r in mine) == sorted(tuple(map(plain, r)) for r in sql) and len(sql) == 45 and met == [3]
+
+
 def test_resolution_needs_no_paths_and_long_chains_are_whole(spark, tmp_path):
     keys = [0, *range(200, 289), 12]
     mine, sql = _on_parts(spark, tmp_path, "g6_whole_resolution", [(k, 1, 900 + i, 9) for i, k in enumerate(keys)] + [(500, 1, 900, 9)])
