@@ -137,6 +137,16 @@ def test_a_tilt_needs_no_distinct_third_axis(spark, tmp_path):
     assert mine == sql and any("unavailable" in r for r in sql)
 
 
+def test_contacts_of_equal_points_are_found_once(spark, tmp_path):
+    """Seven entities with the same points, three with others of the same box, and two with two points."""
+    place = lambda e, i: (10 + i, 900 + i, 9 + i) if e < 7 else (10 + (i if i in (0, 7) else 3), 900 + i, 9 + i)
+    parts = [(8 * e + i, *place(e, i)) for e in range(10) for i in range(8)] + [(8 * e + i, 12 + 3 * i, 903, 12 + i) for e in (12, 14) for i in range(2)]
+    met = []
+    with mock.patch("cairn.plans.relation_queries.interval_pairs", side_effect=lambda boxes, *a, **b: (met.append(boxes.count()), interval_pairs(boxes, *a, **b))[1]):
+        mine, sql = _on_parts(spark, tmp_path, "i13_contact_evidence", parts)
+    assert mine == sql and len(sql) >= 10 * 9 * 3 and met == [3]
+
+
 @pytest.mark.parametrize("name", ["c16_relation_candidates", "i12_geometric_evidence", "i16_decided_relations"])
 def test_relations_of_equal_boxes_are_found_once(spark, tmp_path, name):
     """Twelve entities with one box, five with another that is inside it, and one of a single part."""
